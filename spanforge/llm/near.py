@@ -37,9 +37,9 @@ from .textnp import Words, column, mix, raw, sets, shingles, slices
 
 BANDS, ROWS = 16, 4
 #: MinHash samples; bands use the first ones, odd sketches all.
-SAMPLES = 256
+SAMPLES = 1024
 #: 64-bit words of an odd sketch.
-SKETCH = 16
+SKETCH = 64
 _A = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, 1001 + SAMPLES, dtype=np.uint64))
 
@@ -90,7 +90,7 @@ def most_bits(threshold: float) -> int:
     """Most differing bits of two sketches that may still be of sets at ``threshold``."""
     low = threshold - 4 * math.sqrt(threshold * (1 - threshold) / SAMPLES)
     n, m = 64 * SKETCH, 2 * SAMPLES * (1 - max(0.0, low))
-    return math.ceil(n / 2 * (1 - math.exp(-2 * m / n)) + 2 * math.sqrt(n) / 4)
+    return math.ceil(n / 2 * (1 - math.exp(-2 * m / n)) + math.sqrt(n) / 4)
 
 
 def prepare(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
