@@ -70,7 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-_WORDS = r"list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), x -> x <> '')"
+_WORDS = r"list_filter(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 #: Extendible hashing: the shortest prefix of the key whose rows fit.
 _SHARDS = f"""
@@ -90,7 +90,7 @@ FROM f JOIN l ON l.depth = f.depth AND l.b = f.k >> (60 - f.depth)
 _RULES = rf"""
 WITH w AS (
   SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS w,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM documents),
 g AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS gram FROM w, unnest(range(1, len(w) - 6)) t(i)),
 s AS (SELECT doc_id, gram FROM g GROUP BY 1, 2 HAVING count(*) > 1),
