@@ -12,8 +12,9 @@ rounds the unmarked runs are the repeated intervals; their smallest document dec
 of which documents are repeats.  Equal texts are compared once, by their smallest document.
 
 Defined results: a null text is an empty one; texts shorter than LENGTH keep all their bytes; rows
-with the same id are one document each but never make each other's bytes repeats, unless their
-texts are equal, when all of them keep what the first keeps; rows with a null id keep everything.
+with the same id never make each other's bytes repeats; rows with a null id keep everything and
+make no repeats.  Stretches of one key are compared in one task; there is one for each different
+surrounding of a passage, however often it occurs.
 """
 
 from __future__ import annotations
@@ -23,10 +24,11 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textnp import U64, mix, raw
+from .textnp import _BYTE, U64, _tables, mix, raw
 
 LENGTH = 50
 Q = 16
@@ -35,6 +37,8 @@ RUN = 64
 #: Bytes of text in a block, and of stretches in a shard.
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 1 << 15
+#: Bytes of stretches merged at a time.
+MERGE_BYTES = 1 << 20
 _PIECE = 1 << 19
 _W = LENGTH - Q + 1
 
@@ -106,9 +110,16 @@ def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, bounds), len(keys))
 
 
+def _own(table: pa.Table, copies: pa.Table) -> tuple[pa.Table, pa.Array]:
+    """(rows that no smaller document equals, whether each row is such)."""
+    own = pc.invert(pc.is_in(table.column("id"), value_set=copies.column("id").combine_chunks().cast(table.schema.field("id").type)))
+    return table.filter(own), own
+
+
 def _sender(buckets: int):
-    def send(key: tuple, table: pa.Table) -> pa.Table:
-        k, _, _ = runs(*raw(table.column("text").combine_chunks()))
+    def send(key: tuple, texts: pa.Table, copies: pa.Table) -> pa.Table:
+        table, _ = _own(texts, copies)
+        k, _, _ = runs(*raw(table.column("text").combine_chunks())) if table.num_rows else (np.zeros(0, U64),) * 3
         u, n = np.unique(k, return_counts=True)
         e = _edges(u, buckets)
         rows = [i for i in range(buckets) if e[i] < e[i + 1]]
@@ -129,35 +140,86 @@ def _recur(key: tuple, table: pa.Table) -> pa.Table:
     for p in parts:
         out.append(np.packbits(again[at : at + len(p)]).tobytes())
         at += len(p)
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "again": pa.array(out, pa.binary())})
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(out, pa.binary()), "id": pa.nulls(len(out), pa.int64())})
 
 
-def _stretches(id_type: pa.DataType):
-    def emit(key: tuple, texts: pa.Table, replies: pa.Table) -> pa.Table:
-        data, offsets = raw(texts.column("text").combine_chunks())
-        k, start, n = runs(data, offsets)
+class Stretches:
+    """Stretches of a block around recurring keys: occurrences, and the different ones among them in order of key."""
+
+    def __init__(self, table: pa.Table, bits: list[tuple[int, bytes]], buckets: int):
+        self.data, self.offsets = raw(table.column("text").combine_chunks()) if table.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+        k, start, n = runs(self.data, self.offsets)
         u, of = np.unique(k, return_inverse=True)
-        rows = sorted(zip(replies.column("bucket").to_pylist(), replies.column("again").to_pylist(), replies.column("buckets").to_pylist(), strict=True)) if replies.num_rows else []
         again = np.zeros(len(u), bool)
-        if rows:
-            e = _edges(u, rows[0][2])
-            for b, bits, _ in rows:
-                again[e[b] : e[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=int(e[b + 1] - e[b]))
+        e = _edges(u, buckets)
+        for b, data in bits:
+            again[e[b] : e[b + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=int(e[b + 1] - e[b]))
         keep = again[of]
         k, start, n = k[keep], start[keep], n[keep]
-        size = n + LENGTH - 1
-        at = np.cumsum(size) - size
-        body = data[np.repeat(start - at, size) + np.arange(int(size.sum()))]
-        ends = np.append(at, size.sum()).astype(np.int32)
-        row = np.searchsorted(offsets, start, "right") - 1
-        return pa.table({
-            "key": pa.array(k.view(np.int64)), "body": pa.Array.from_buffers(pa.binary(), len(k), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(body))]),
-            "id": texts.column("id").combine_chunks().take(pa.array(row)).cast(id_type), "at": pa.array(start - offsets[row]),
-        })
+        row = np.searchsorted(self.offsets, start, "right") - 1
+        ids = table.column("id").to_numpy().astype(np.int64)[row]
+        h = hashes(self.data, start, n + LENGTH - 1)
+        order = np.lexsort((ids, h, k))
+        self.key, self.start, self.n, self.id, h = k[order], start[order], n[order], ids[order], h[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (self.key[1:] != self.key[:-1]) | (h[1:] != h[:-1])
+        self.first = np.flatnonzero(new)
+        self.count = np.diff(np.append(self.first, len(order)))
+        self.edges = _edges(self.key[self.first], buckets)
+
+
+def hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """64-bit content hash of stretches, in pieces."""
+    out = np.empty(len(start), U64)
+    order = np.argsort(start, kind="stable")
+    s = start[order]
+    up, down = _tables(_PIECE + 4 * RUN)
+    for at in range(0, len(data), _PIECE):
+        a, b = np.searchsorted(s, (at, at + _PIECE))
+        if a == b:
+            continue
+        part = data[at : at + _PIECE + RUN + LENGTH]
+        total = np.zeros(len(part) + 1, U64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+        i = order[a:b]
+        x = start[i] - at
+        out[i] = mix((total[x + size[i]] - total[x]) * down[x])
+    return out
+
+
+def _bits(replies: pa.Table) -> list[tuple[int, bytes]]:
+    return [(b, d) for b, d in zip(replies.column("bucket").to_pylist(), replies.column("data").to_pylist(), strict=True) if b >= 0]
+
+
+def _copies(replies: pa.Table) -> pa.Table:
+    return replies.filter(pc.is_valid(replies.column("id"))).select(["id"])
+
+
+def _emitter(buckets: int):
+    def emit(key: tuple, texts: pa.Table, replies: pa.Table) -> pa.Table:
+        table, _ = _own(texts, _copies(replies))
+        st = Stretches(table, _bits(replies), buckets)
+        pack = zstandard.ZstdCompressor(3).compress
+        rows = [i for i in range(buckets) if st.edges[i] < st.edges[i + 1]]
+        out = []
+        for i in rows:
+            f = st.first[st.edges[i] : st.edges[i + 1]]
+            size = st.n[f] + LENGTH - 1
+            at = np.cumsum(size) - size
+            body = st.data[np.repeat(st.start[f] - at, size) + np.arange(int(size.sum()))]
+            head = [st.key[f].tobytes(), st.id[f].astype("<i8").tobytes(), st.count[st.edges[i] : st.edges[i + 1]].astype("<u4").tobytes(), size.astype(np.uint8).tobytes()]
+            out.append(len(f).to_bytes(8, "little") + pack(b"".join([*head, body.tobytes()])))
+        return pa.table({"bucket": pa.array(rows, pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "data": pa.array(out, pa.binary())})
 
     return emit
 
 
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    x = zstandard.ZstdDecompressor().decompress(data[8:])
+    return np.frombuffer(x, U64, n), np.frombuffer(x, "<i8", n, 8 * n), np.frombuffer(x, "<u4", n, 16 * n), np.frombuffer(x, np.uint8, n, 20 * n), np.frombuffer(x, np.uint8, offset=21 * n)
+
+
 # --- transforms and their merge -------------------------------------------------------------
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Suffixes of a shard in order; 0 ends each string, and of equal rests that of the earlier string comes first."""
@@ -191,38 +253,41 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
     """
     orders = [suffix_order(s) for s in shards]
     base = np.cumsum([0, *(len(s) for s in shards)])
-    transform = np.concatenate([s[o - 1] for s, o in zip(shards, orders, strict=True)])  # the byte before each suffix
+    codes = np.unique(np.concatenate(shards))
+    dense = [np.searchsorted(codes, s).astype(np.int64) for s in shards]
+    # the bytes before each suffix are its symbol: two of them where pairs fit 16 bits, which halves the rounds
+    stride = 2 if len(codes) ** 2 <= 1 << 16 and depth % 2 == 0 else 1
+    symbol = [s[o - 2] * len(codes) + s[o - 1] if stride == 2 else s[o - 1] for s, o in zip(dense, orders, strict=True)]
+    transform = np.concatenate(symbol).astype(np.uint16)
     place = np.concatenate([o + b for o, b in zip(orders, base[:-1], strict=True)])
-    source = np.repeat(np.arange(len(shards), dtype=np.uint16 if len(shards) < 65536 else np.uint32), np.diff(base))
+    source = np.repeat(np.arange(len(shards), dtype=np.uint16), np.diff(base))
     interval = np.zeros(len(transform), np.int32)
     merged = np.empty_like(transform)
-    for _ in range(depth):
-        merged[np.argsort(source, kind="stable")] = transform  # each shard's bytes in its own order
+    new = np.zeros(len(transform), bool)
+    for _ in range(depth // stride):
+        merged[np.argsort(source, kind="stable")] = transform  # each shard's symbols in its own order
         to = np.argsort(merged, kind="stable")
-        source, byte, old = source[to], merged[to], interval[to]
-        new = np.empty(len(to), bool)
-        new[0] = False
-        # terminators are alike at this depth; strings end before a window could hold one
-        np.logical_or(byte[1:] != byte[:-1], old[1:] != old[:-1], out=new[1:])
+        source, now, old = source[to], merged[to], interval[to]
+        np.logical_or(now[1:] != now[:-1], old[1:] != old[:-1], out=new[1:])  # strings end before a window could hold an end
         interval = np.cumsum(new, dtype=np.int32)
     out = np.empty(len(place), np.int64)
     out[np.argsort(source, kind="stable")] = place
     return out, interval
 
 
-def lowest(bodies: list[bytes], low: np.ndarray, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
-    """For each stretch, for each of its windows, the smallest document that has the window."""
-    size = np.fromiter(map(len, bodies), np.int64, len(bodies))
+def lowest(size: np.ndarray, flat: np.ndarray, low: np.ndarray, shard_bytes: int = SHARD_BYTES) -> np.ndarray:
+    """For every window of every stretch (laid end to end), the smallest document that has the window."""
+    size = size.astype(np.int64)
     at = np.cumsum(size + 1) - size - 1
-    text = np.zeros(int(size.sum()) + len(bodies), np.uint16)
-    flat = np.frombuffer(b"".join(bodies), np.uint8)
-    text[np.arange(len(flat)) + np.repeat(np.arange(len(bodies)), size)] = flat.astype(np.uint16) + 1
+    text = np.zeros(int(size.sum()) + len(size), np.uint16)
+    text[np.arange(len(flat)) + np.repeat(np.arange(len(size)), size)] = flat.astype(np.uint16) + 1
     cuts, last = [0], 0
-    for i in range(len(bodies)):
-        end = int(at[i] + size[i] + 1)
-        if end - last >= shard_bytes or i + 1 == len(bodies):
+    for end in (at + size + 1).tolist():
+        if end - last >= shard_bytes:
             cuts.append(end)
             last = end
+    if cuts[-1] != len(text):
+        cuts.append(len(text))
     place, interval = merge([text[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], LENGTH)
     of = np.searchsorted(at, place, "right") - 1
     window = place - at[of] <= size[of] - LENGTH  # suffixes that hold a whole window
@@ -231,53 +296,102 @@ def lowest(bodies: list[bytes], low: np.ndarray, shard_bytes: int = SHARD_BYTES)
     np.minimum.at(least, interval, low[of])
     by_place = np.zeros(len(text), np.int64)
     by_place[place] = least[interval]
-    return [by_place[a : a + n - LENGTH + 1] for a, n in zip(at.tolist(), size.tolist(), strict=True)]
-
-
-_GROUP = "key long, h long, first int, last int, low long"
+    n = size - LENGTH + 1
+    return by_place[np.arange(int(n.sum())) + np.repeat(at - (np.cumsum(n) - n), n)]
 
 
 def _resolve(key: tuple, table: pa.Table) -> pa.Table:
-    """Runs of windows of each stretch with the smallest document that has them."""
-    low, many = table.column("low").to_numpy(), table.column("n").to_numpy()
-    keys, hashes = table.column("key").to_numpy(), table.column("h").to_numpy()
-    # stretches of a key that is theirs alone need no transform: their own smallest document counts
-    u, of, n = np.unique(keys, return_inverse=True, return_counts=True)
-    shared = np.flatnonzero(n[of] > 1)
-    size = pc.binary_length(table.column("body")).to_numpy()
-    bodies = table.column("body").combine_chunks().take(pa.array(shared)).to_pylist()
-    out: list[tuple[int, int, int, int]] = []
-    if len(shared):
-        for i, m in zip(shared.tolist(), lowest(bodies, low[shared]), strict=True):
-            edge = np.flatnonzero(np.append(True, m[1:] != m[:-1]))
-            for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(m)], strict=True):
-                if many[i] > 1 or m[a] != low[i]:
-                    out.append((i, a, b - 1, int(m[a])))
-    for i in np.flatnonzero((n[of] == 1) & (many > 1)).tolist():
-        out.append((i, 0, int(size[i]) - LENGTH, int(low[i])))
-    i, a, b, m = (np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 4
-    return pa.table({"key": keys[i], "h": hashes[i], "first": a.astype(np.int32), "last": b.astype(np.int32), "low": m})
-
-
-def _assemble(id_type: pa.DataType):
-    def build(key: tuple, texts: pa.Table, marks: pa.Table) -> pa.Table:
-        data, offsets = raw(texts.column("text").combine_chunks())
-        ids = texts.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        row = order[np.searchsorted(ids[order], marks.column("id").to_numpy())] if marks.num_rows else np.zeros(0, np.int64)
-        edge = np.zeros(len(data) + 1, np.int32)
-        np.add.at(edge, offsets[row] + marks.column("start").to_numpy(), 1)
-        np.add.at(edge, offsets[row] + marks.column("stop").to_numpy(), -1)
+    """For the stretches of each block, runs of windows with the smallest document that has them."""
+    parts = [_unpack(d) for d in table.column("data").to_pylist()]
+    k, low, count, size, flat = (np.concatenate([p[i] for p in parts]) for i in range(5))
+    size = size.astype(np.int64)
+    begin = np.cumsum(size) - size
+    h = hashes(flat, begin, size)
+    order = np.lexsort((h, k))
+    new = np.ones(len(order), bool)
+    new[1:] = (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1])
+    first = np.flatnonzero(new)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    least = np.minimum.reduceat(low[order], first)
+    one = order[first]  # an entry that stands for each different stretch
+    other = np.ones(len(one), bool)
+    other[1:] = k[one][1:] != k[one][:-1]
+    key_no = np.cumsum(other) - 1
+    shared = np.bincount(key_no)[key_no] > 1
+    n = size[one] - LENGTH + 1
+    value = np.repeat(least, n)  # smallest document of each window of each different stretch
+    at = np.cumsum(n) - n
+    todo = np.flatnonzero(shared)
+    a = 0
+    while a < len(todo):  # keys are independent: a few at a time
+        total = np.cumsum(size[one[todo[a:]]])
+        b = a + max(1, int(np.searchsorted(total, MERGE_BYTES, "right")))
+        while b < len(todo) and key_no[todo[b]] == key_no[todo[b - 1]]:
+            b += 1
+        u = todo[a:b]
+        s = size[one[u]]
+        body = flat[np.repeat(begin[one[u]] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))]
+        value[np.repeat(at[u] - (np.cumsum(n[u]) - n[u]), n[u]) + np.arange(int(n[u].sum()))] = lowest(s, body, least[u])
+        a = b
+    edge = np.zeros(len(value), bool)
+    edge[at] = True
+    edge[1:] |= value[1:] != value[:-1]
+    run = np.flatnonzero(edge)
+    run_of = np.searchsorted(at, run, "right") - 1
+    run_first = run - at[run_of]
+    run_last = np.append(run[1:], len(value)) - 1 - at[run_of]
+    from_, runs_ = np.searchsorted(run_of, np.arange(len(one))), np.bincount(run_of, minlength=len(one))
+    pack = zstandard.ZstdCompressor(1).compress
+    out, begin_entry = [], 0
+    for p in parts:
+        e = np.arange(begin_entry, begin_entry + len(p[0]))
+        begin_entry += len(p[0])
+        m = runs_[of[e]]
+        r = np.repeat(from_[of[e]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+        who = np.repeat(np.arange(len(e)), m)
+        useful = (value[run[r]] < p[1][who]) | (p[2][who] > 1)
+        r, who = r[useful], who[useful]
+        out.append(len(r).to_bytes(8, "little") + pack(who.astype("<u4").tobytes() + run_first[r].astype(np.uint8).tobytes() + run_last[r].astype(np.uint8).tobytes() + value[run[r]].astype("<i8").tobytes()))
+    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(out, pa.binary()), "id": pa.nulls(len(out), pa.int64())})
+
+
+def _assembler(buckets: int, id_type: pa.DataType):
+    def build(key: tuple, texts: pa.Table, replies: pa.Table) -> pa.Table:
+        copies = _copies(replies)
+        table, own = _own(texts, copies)
+        kind = replies.column("decided").to_numpy(zero_copy_only=False)
+        bits, marks = replies.filter(pa.array(~kind)), replies.filter(pa.array(kind))
+        st = Stretches(table, _bits(bits), buckets)
+        edge = np.zeros(len(st.data) + 1, np.int32)
+        for b, data in _bits(marks):
+            n = int.from_bytes(data[:8], "little")
+            x = zstandard.ZstdDecompressor().decompress(data[8:])
+            who, a, z, low = np.frombuffer(x, "<u4", n), np.frombuffer(x, np.uint8, n, 4 * n), np.frombuffer(x, np.uint8, n, 5 * n), np.frombuffer(x, "<i8", n, 6 * n)
+            e = who.astype(np.int64) + st.edges[b]
+            m = st.count[e]
+            occ = np.repeat(st.first[e] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
+            r = np.repeat(np.arange(n), m)
+            hit = low[r] < st.id[occ]
+            occ, r = occ[hit], r[hit]
+            np.add.at(edge, st.start[occ] + a[r], 1)
+            np.add.at(edge, st.start[occ] + z[r].astype(np.int64) + LENGTH, -1)
+        data, offsets = st.data, st.offsets
         gone = np.cumsum(edge[:-1]) > 0
         rise = gone.copy()
         rise[1:] &= ~gone[:-1]
         inner = offsets[:-1][offsets[:-1] < len(data)]
         rise[inner] = gone[inner]  # a run ends with its document
         count = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[offsets]).astype(np.int64)
-        body = data.tobytes()
-        n = count(gone)
+        body, n = data.tobytes(), count(gone)
         digest = [hashlib.sha256(body[a:b] if not c else data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b, c in zip(offsets[:-1].tolist(), offsets[1:].tolist(), n.tolist(), strict=True)]
-        return pa.table({"id": texts.column("id").cast(id_type), "digest": texts.column("digest"), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(n), "n_spans": pa.array(count(rise)), "kept_sha256": pa.array(digest, pa.string())})
+        kept = pa.table({"id": table.column("id").cast(id_type), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(n), "n_spans": pa.array(count(rise)), "kept_sha256": pa.array(digest, pa.string())})
+        rest = texts.filter(pc.invert(own))  # equal to a smaller document: all of a text that holds a window goes
+        size = pc.binary_length(rest.column("text")).cast(pa.int64()).to_numpy()
+        whole = size >= LENGTH
+        digest = [hashlib.sha256(b"" if w else t.encode()).hexdigest() for t, w in zip(rest.column("text").to_pylist(), whole.tolist(), strict=True)]
+        equal = pa.table({"id": rest.column("id").cast(id_type), "n_bytes": pa.array(size), "n_removed": pa.array(np.where(whole, size, 0)), "n_spans": pa.array(whole.astype(np.int64)), "kept_sha256": pa.array(digest, pa.string())})
+        return pa.concat_tables([kept, equal])
 
     return build
 
@@ -291,23 +405,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block
     kind = docs.schema[id_col].dataType
     total = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     blocks = max(1, -(-((total[0] or 0) + 64 * total[1]) // block_bytes))
-    own = rows.filter("id IS NOT NULL").groupBy("text").agg(F.min("id").alias("id")).withColumn("digest", F.md5("text"))
-    own = own.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    sent = own.groupBy("block").applyInArrow(_sender(blocks), "bucket int, block int, keys binary, many binary")
-    replies = sent.groupBy("bucket").applyInArrow(_recur, "block int, bucket int, again binary").withColumn("buckets", F.lit(blocks))
-    found = own.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_stretches(to_arrow_type(kind)), f"key long, body binary, id {kind.simpleString()}, at long")
-    found = found.withColumn("h", F.xxhash64("body"))
-    groups = found.groupBy("key", "h", "body").agg(F.min("id").cast("long").alias("low"), F.count(F.lit(1)).alias("n")).withColumn("bucket", F.pmod("key", F.lit(blocks)).cast("int"))
-    decided = groups.groupBy("bucket").applyInArrow(_resolve, _GROUP)
-    marks = found.select("key", "h", "id", "at").join(decided, ["key", "h"]).filter("low < id")
-    marks = marks.select("id", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), (F.col("at") + F.col("first")).alias("start"), "at", "last")
-    marks = marks.select("block", "id", "start", (F.col("at") + F.col("last") + LENGTH).alias("stop"))
-    kept = own.groupBy("block").cogroup(marks.groupBy("block")).applyInArrow(_assemble(to_arrow_type(kind)), f"id {kind.simpleString()}, digest string, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    light = rows.select("id", F.md5("text").alias("digest"), F.octet_length("text").cast("long").alias("size"), F.when(F.col("id").isNull() | (F.octet_length("text") < LENGTH), F.sha2(F.col("text").cast("binary"), 256)).alias("whole"))
-    out = light.join(kept, ["id", "digest"], "left")
-    # no match: an equal text has a smaller id, so all of a text that holds a window goes
-    gone = F.when(F.col("whole").isNull(), F.col("size")).otherwise(0)
-    return out.select(
-        F.col("id").alias(id_col), F.col("size").alias("n_bytes"), F.coalesce("n_removed", gone).cast("long").alias("n_removed"),
-        F.coalesce("n_spans", F.when(gone > 0, 1).otherwise(0)).cast("long").alias("n_spans"), F.coalesce("kept_sha256", "whole", F.lit(hashlib.sha256(b"").hexdigest())).alias("kept_sha256"),
-    )
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+    light = rows.filter("id IS NOT NULL").select("block", "id", F.md5("text").alias("digest"))
+    equal = light.groupBy("digest").agg(F.min("id").alias("smallest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    copies = light.join(equal, "digest").filter("id > smallest").select("block", F.col("id").cast("long")).toDF("block", "id")  # names of their own, apart from those of the texts
+    texts = rows.filter("id IS NOT NULL").repartition(blocks, "block")
+    by_block = texts.groupBy("block")
+    as_reply = copies.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("data"), "id")
+    reply = "block int, bucket int, data binary, id long"
+    sent = by_block.cogroup(copies.groupBy("block")).applyInArrow(_sender(blocks), "bucket int, block int, keys binary, many binary")
+    again = sent.groupBy("bucket").applyInArrow(_recur, reply).unionByName(as_reply)
+    found = by_block.cogroup(again.groupBy("block")).applyInArrow(_emitter(blocks), "bucket int, block int, data binary")
+    marks = found.groupBy("bucket").applyInArrow(_resolve, reply)
+    replies = again.withColumn("decided", F.lit(False)).unionByName(marks.withColumn("decided", F.lit(True)))
+    fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    out = by_block.cogroup(replies.groupBy("block")).applyInArrow(_assembler(blocks, to_arrow_type(kind)), f"id {kind.simpleString()}, {fields}")
+    bare = rows.filter("id IS NULL").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return out.unionByName(bare).withColumnRenamed("id", id_col)
