@@ -178,9 +178,10 @@ def verify(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> t
     exact = region.tobytes().find(item.tobytes())
     if exact >= 0:
         return 0, a + exact, a + exact + m
-    if not k:
+    first, last = max(low - k - a, -k), min(high + k - a, len(region) - m + k)
+    if not k or first > last:  # no edits allowed, or too little text
         return None
-    edits, end = align(item, region, max(low - k - a, -k), min(high + k - a, len(region) - m + k), k)
+    edits, end = align(item, region, first, last, k)
     if edits > k:
         return None
     back, length = align(item[::-1], region[:end][::-1], -k, k, k)
