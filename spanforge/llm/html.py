@@ -51,12 +51,13 @@ def tokens(page: str) -> Iterator[tuple[str, str, frozenset[str], bool]]:
             continue
         name = name.lower()
         if m[1]:
+            inner = context
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
                     del stack[i:]
                     context = stack[-1][1] if stack else frozenset()
                     break
-            yield "tag", name, context, name not in INLINE
+            yield "tag", name, inner, name not in INLINE
             continue
         if name in RAW and not m[3].rstrip().endswith("/"):
             lowered = page.lower() if lowered is None else lowered
@@ -152,7 +153,7 @@ def main_text(page: str | None) -> str:
             words = len(value.split())
             score = words * (min(bad) if bad else plain)
             if bad:  # boilerplate inside the article costs a little, however long
-                score = max(score, -3.0 if "article" in context or "main" in context else -80.0)
+                score = max(score, -1.0 if "article" in context or "main" in context else -80.0)
             parts.append(None if bad else value)
         total += score
         if total <= 0:
