@@ -480,3 +480,19 @@ def bootstrap_recall(spark, d):
     x = _caught(spark, d).groupBy("doc_id").agg(F.count_if("covered").alias("c"), F.count(F.lit(1)).alias("n"))
     x = x.withColumn("ord", (F.row_number().over(W.orderBy("doc_id")) - 1).cast("long")).select("ord", "c", "n")
     return Q.bootstrap(x, 200, 20260601)
+
+
+# --- sequential steps -----------------------------------------------------------------------
+@query
+def chunk_boundaries(spark, d):
+    from ..operators.sequential import chunks, text_spans
+
+    return text_spans(R.documents(spark, d), chunks, "CHUNK")
+
+
+@query
+def greedy_matching(spark, d):
+    from ..operators.sequential import greedy_counts
+
+    x = greedy_counts(R.gold(spark, d), R.preds(spark, d))
+    return x.agg(*[F.sum(c).alias(c) for c in ("correct", "partial", "wrong_type", "fp", "fn")])
