@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 #: Bytes of a word from which contraction leaves the recursive query.
 LONG_WORD = 1000
 #: Words a worker keeps in each of its two cache generations.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 250_000
 #: Bytes of words in one recursive query.
 QUERY_BYTES = 1 << 19
 #: Largest rank file that is sent to the workers.
