@@ -24,11 +24,13 @@ class Detector:
     source: str = "regex"
     confidence: float = 1.0
     pick: str = "whole"
+    #: A text that every match contains; looked for before the pattern is tried.
+    holds: str = ""
 
 
 # The patterns follow the published rules of the toolkit whose results are matched.
-EMAIL = Detector("email", "EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
-PHONE = Detector("phone", "PHONE", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}")
+EMAIL = Detector("email", "EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", holds="@")
+PHONE = Detector("phone", "PHONE", r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}", holds="+1 (")
 CARD = Detector("id16", "ID", r"\b[0-9]{16}\b")
 GROUPED_ID = Detector("grouped_id", "ID", r"\b[0-9]{4}[ -][0-9]{4}[ -][0-9]{2,4}(?:[ -][0-9]{2,4})?\b")
 DOTTED_QUAD = Detector("ip", "IP", r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b")
@@ -81,7 +83,8 @@ def spans(docs: DataFrame, detectors: list[Detector], id_col: str = "doc_id", te
     """
     out = None
     for rank, d in enumerate(detectors):
-        hit = docs.filter(F.col(text_col).rlike(d.pattern)).select(*keep, id_col, F.posexplode(matches(F.col(text_col), d.pattern)).alias("seq", "m"))
+        some = docs.filter(F.contains(F.col(text_col), F.lit(d.holds))) if d.holds else docs
+        hit = some.filter(F.col(text_col).rlike(d.pattern)).select(*keep, id_col, F.posexplode(matches(F.col(text_col), d.pattern)).alias("seq", "m"))
         value, start = F.col("m.value"), F.col("m.start")
         if d.pick == "tail_digits":
             part = F.regexp_extract(value, "[0-9]+$", 0)

@@ -15,8 +15,8 @@ from ..operators import intervals as I
 
 GOLD = [EMAIL, PHONE, CARD, DOTTED_QUAD, SECRET]
 LAYERS = [
-    Detector("mail", "PRIVATE_EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "mail", 0.9),
-    Detector("phone", "PHONE", r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}", "phone", 0.8),
+    Detector("mail", "PRIVATE_EMAIL", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+", "mail", 0.9, holds="@"),
+    Detector("phone", "PHONE", r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}", "phone", 0.8, holds="("),
     Detector("digits", "ID", r"[0-9.]{7,}", "digits", 0.85),
 ]
 #: Combination -> its layers in order; the last one is the default.
