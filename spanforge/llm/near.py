@@ -2,14 +2,17 @@
 
 One pass turns each text into its set of word shingles (64-bit hashes), a digest of the whole set,
 banded MinHash values and an odd sketch: a parity bitmap into which the MinHash samples are folded,
-so that the population count of the XOR of two sketches estimates a high similarity.  Equal sets
-collapse to one representative before anything is compared.
+so that the population count of the XOR of two sketches estimates a high similarity.  A second
+bitmap holds the parities of the whole set; the population count of two of them XORed is at most
+the number of shingles in which the sets differ, so it refuses pairs without any error, sharply
+for small sets, where the samples tell least.  Equal sets collapse to one representative before
+anything is compared.
 
 Links are then looked for among representatives that share a band.  First each is compared with
 the smallest of its bucket.  As only classes are asked for, later rounds compare just those members
 of a bucket that are not yet in one class: in blocks, each such member gets its likeliest partners
-by the sketches, a few at first, then more, then all that the sketches admit.  Every comparison is
-confirmed on the full sets.  So a group of many near copies costs about as many comparisons as it
+by the sketches, a few at first, then more, then all that the sketches admit; rounds end as soon as
+no member had more partners than it was given.  Every comparison is confirmed on the full sets.  So a group of many near copies costs about as many comparisons as it
 has members, no bucket is capped, and no link between different classes goes unseen but for the
 odds of the method: two sets at similarity 0.85 share none of 16 bands of 4 with odds of 7 in a
 million, and the sketch bound lies four standard deviations below the threshold.
@@ -37,9 +40,11 @@ from .textnp import Words, column, mix, raw, sets, shingles, slices
 
 BANDS, ROWS = 16, 4
 #: MinHash samples; bands use the first ones, odd sketches all.
-SAMPLES = 1024
-#: 64-bit words of an odd sketch.
-SKETCH = 64
+SAMPLES = 256
+#: 64-bit words of an odd sketch of the samples, and of the parities of a whole set.
+SKETCH, PARITY = 16, 32
+#: Rows whose samples are held at once.
+_ROWS = 2048
 _A = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
 _B = mix(np.arange(1001, 1001 + SAMPLES, dtype=np.uint64))
 
@@ -79,6 +84,15 @@ def odd_sketches(sig: np.ndarray) -> np.ndarray:
     return out
 
 
+def parities(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Parity bitmaps (rows x PARITY words) of sets laid end to end."""
+    out = np.zeros((len(offsets) - 1) * PARITY, np.uint64)
+    slot = mix(values) % np.uint64(64 * PARITY)
+    row = np.repeat(np.arange(len(offsets) - 1) * PARITY, np.diff(offsets))
+    np.bitwise_xor.at(out, row + (slot >> np.uint64(6)).astype(np.int64), np.uint64(1) << (slot & np.uint64(63)))
+    return out.reshape(-1, PARITY)
+
+
 def shingle_sets(arr: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(values, offsets): the sorted distinct shingle hashes of each text."""
     w = Words(*raw(arr))
@@ -94,7 +108,7 @@ def most_bits(threshold: float) -> int:
 
 
 def prepare(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, n, digest, bands, odd) of every row; digest, bands and odd are null for empty sets."""
+    """(id, n, digest, bands, odd, parity) of every row; all but id and n are null for empty sets."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,20 +116,25 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             values, o = shingle_sets(column(batch, "text"), k)
             n = np.diff(o)
             some = np.flatnonzero(n)
-            sig = signatures(values, np.append(o[some], len(values)))
+            ends = np.append(o[some], len(values))
             digest: list[bytes | None] = [None] * len(n)
-            band: list[np.ndarray | None] = [None] * len(n)
-            odd: list[np.ndarray | None] = [None] * len(n)
-            for i, b, s in zip(some.tolist(), bands(sig).view(np.int64), odd_sketches(sig).view(np.int64), strict=True):
-                digest[i] = hashlib.blake2b(values[o[i] : o[i + 1]].tobytes(), digest_size=16).digest()
-                band[i], odd[i] = b, s
+            traits: list[list[np.ndarray | None]] = [[None] * len(n) for _ in range(3)]
+            for at in range(0, len(some), _ROWS):
+                i = some[at : at + _ROWS]
+                v, e = values[ends[at] : ends[at + len(i)]], ends[at : at + len(i) + 1] - ends[at]
+                sig = signatures(v, e)
+                for kept, found in zip(traits, (bands(sig), odd_sketches(sig), parities(v, e)), strict=True):
+                    for j, row in zip(i.tolist(), found.view(np.int64), strict=True):
+                        kept[j] = row
+            for j in some.tolist():
+                digest[j] = hashlib.blake2b(values[o[j] : o[j + 1]].tobytes(), digest_size=16).digest()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
-                ["id", "n", "digest", "bands", "odd"],
+                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), *(pa.array(t, pa.list_(pa.int64())) for t in traits)],
+                ["id", "n", "digest", "bands", "odd", "parity"],
             )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n long, digest binary, bands array<long>, odd array<long>")
+    return rows.mapInArrow(run, f"id {kind}, n long, digest binary, bands array<long>, odd array<long>, parity array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
@@ -159,50 +178,71 @@ def components(nodes: DataFrame, links: DataFrame, most: int = 60) -> DataFrame:
 _SCAN = 4096
 
 
-def _partners(limit: int | None, bits: int, ratio: float):
-    """For each member that asks, its likeliest partners of other classes within a block of its bucket."""
+def _words(table: pa.Table, name: str, width: int) -> np.ndarray:
+    """A column of equally long bitmaps as rows x words."""
+    held = table.column(name).combine_chunks()
+    return held.values.to_numpy().view(np.uint64)[held.offset * width : (held.offset + len(held)) * width].reshape(-1, width)
+
+
+def _partners(limit: int | None, bits: int, percent: int):
+    """For each member that asks, its likeliest partners of other classes within a block of its bucket.
+
+    ``more`` marks pairs of members that had further partners.
+    """
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        odd = table.column("odd").combine_chunks()
-        sketch = odd.values.to_numpy().view(np.uint64)[odd.offset * SKETCH : (odd.offset + len(odd)) * SKETCH].reshape(-1, SKETCH)
+        odd, parity = _words(table, "odd", SKETCH), _words(table, "parity", PARITY)
         ids, classes, n, asks = (table.column(c).to_numpy() for c in ("id", "class", "n", "asks"))
         there = np.flatnonzero(~asks)
-        out_a, out_b = [], []
+        out_a, out_b, out_more = [], [], []
         for i in np.flatnonzero(asks):
-            z = np.bitwise_count(sketch[there] ^ sketch[i]).sum(1)
-            ok = (z <= bits) & (classes[there] != classes[i]) & (np.minimum(n[there], n[i]) >= ratio * np.maximum(n[there], n[i]))
-            best = there[ok]
-            if limit is not None and len(best) > limit:
+            rest = there[(classes[there] != classes[i]) & (100 * np.minimum(n[there], n[i]) >= percent * np.maximum(n[there], n[i]))]
+            z = np.bitwise_count(odd[rest] ^ odd[i]).sum(1)
+            apart = np.bitwise_count(parity[rest] ^ parity[i]).sum(1).astype(np.int64)
+            ok = (z <= bits) & ((100 + percent) * apart <= (100 - percent) * (n[rest] + n[i]))
+            best = rest[ok]
+            cut_off = limit is not None and len(best) > limit
+            if cut_off:
                 best = best[np.argsort(z[ok], kind="stable")[:limit]]
             out_a.append(np.minimum(ids[best], ids[i]))
             out_b.append(np.maximum(ids[best], ids[i]))
+            out_more.append(np.full(len(best), cut_off))
         a, b = (np.concatenate([*x, ids[:0]]) for x in (out_a, out_b))
-        if len(a):
-            order = np.lexsort((b, a))
-            a, b = a[order], b[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-            a, b = a[new], b[new]
-        return pa.table({"a": pa.array(a, table.schema.field("id").type), "b": pa.array(b, table.schema.field("id").type)})
+        more = np.concatenate([*out_more, asks[:0]])
+        order = np.lexsort((~more, b, a))
+        a, b, more = a[order], b[order], more[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        kind = table.schema.field("id").type
+        return pa.table({"a": pa.array(a[new], kind), "b": pa.array(b[new], kind), "more": pa.array(more[new])})
 
     return run
 
 
+def _differ(x: str, y: str):
+    """Bits in which two bitmaps differ."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, z: total + z)
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id`` and ``kept`` (the row's id is its class's smallest)."""
     ready = cut(prepare(docs, id_col, text_col, k))
     some = ready.filter("digest IS NOT NULL AND id IS NOT NULL")
-    equal = some.groupBy("digest").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "bands", "odd"), "id").alias("x"))
-    reps = cut(equal.select("digest", F.col("rep").alias("id"), "x.n", "x.bands", "x.odd"))
+    equal = some.groupBy("digest").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "bands", "odd", "parity"), "id").alias("x"))
+    reps = cut(equal.select("digest", F.col("rep").alias("id"), "x.n", "x.bands", "x.odd", "x.parity"))
     member = reps.select("id", F.posexplode("bands").alias("band", "value"))
     bucket = member.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).filter("size > 1")
     member = cut(member.join(bucket, ["band", "value"]))
-    bits, ratio = most_bits(percent / 100), percent / 100
-    traits = reps.select("id", "n", "odd")
+    bits = most_bits(percent / 100)
+    traits = reps.select("id", "n", "odd", "parity")
     star = member.filter("id != first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    star = star.join(traits.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("odd").alias("ob")), "b").join(traits.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("odd").alias("oa")), "a")
-    differ = F.aggregate(F.zip_with("oa", "ob", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    star = star.filter((F.least("na", "nb") >= ratio * F.greatest("na", "nb")) & (differ <= bits)).select("a", "b")
+    for side in ("a", "b"):
+        star = star.join(traits.select(F.col("id").alias(side), *(F.col(c).alias(c + side) for c in ("n", "odd", "parity"))), side)
+    star = star.filter(
+        (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        & ((100 + percent) * _differ("paritya", "parityb") <= (100 - percent) * (F.col("na") + F.col("nb")))
+        & (_differ("odda", "oddb") <= bits)
+    ).select("a", "b")
     involved = member.select("id").distinct()
     texts = cut(full_sets(docs, involved, id_col, text_col, k).dropDuplicates(["id"]))
     tried = cut(star)
@@ -215,13 +255,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         by_class = at.groupBy("band", "value", "class").agg(F.count(F.lit(1)).alias("m"))
         top = by_class.groupBy("band", "value").agg(F.count(F.lit(1)).alias("classes"), F.max_by("class", F.struct("m", "class")).alias("top")).filter("classes > 1")
         at = at.join(top, ["band", "value"]).join(traits, "id").withColumn("blocks", F.ceil(F.col("size") / _SCAN).cast("int"))
-        held = at.select("band", "value", "id", "class", "n", "odd", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(False).alias("asks"))
-        ask = at.filter("class != top").select("band", "value", "id", "class", "n", "odd", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
+        held = at.select("band", "value", "id", "class", "n", "odd", "parity", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(False).alias("asks"))
+        ask = at.filter("class != top").select("band", "value", "id", "class", "n", "odd", "parity", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
         kind = member.schema["id"].dataType.simpleString()
-        found = held.unionByName(ask).groupBy("band", "value", "block").applyInArrow(_partners(limit, bits, ratio), f"a {kind}, b {kind}")
-        found = cut(found.distinct().join(tried, ["a", "b"], "left_anti"))
+        found = held.unionByName(ask).groupBy("band", "value", "block").applyInArrow(_partners(limit, bits, percent), f"a {kind}, b {kind}, more boolean")
+        found = cut(found.groupBy("a", "b").agg(F.max("more").alias("more")))
+        last = found.filter("more").isEmpty()
+        found = cut(found.select("a", "b").join(tried, ["a", "b"], "left_anti"))
         if found.isEmpty():
-            if limit is None:
+            if last:
                 break
             continue
         more = cut(confirm(found, texts, percent))
@@ -229,6 +271,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         if not more.isEmpty():
             links = links.unionByName(more)
             label = components(involved, links)
+        if last:
+            break
     of_digest = reps.select("digest", F.col("id").alias("rep")).join(label.select(F.col("id").alias("rep"), "class"), "rep", "left").select("digest", F.coalesce("class", "rep").alias("class"))
     out = ready.select("id", "n", "digest").join(of_digest, "digest", "left").withColumn("class", F.coalesce("class", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("class").alias("component_id"), F.coalesce(F.col("id") == F.col("class"), F.lit(True)).alias("kept"))
