@@ -20,6 +20,7 @@ import base64
 import hashlib
 import heapq
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 #: Bytes of a word from which contraction leaves the recursive query.
 LONG_WORD = 1000
 #: Words a worker keeps in each of its two cache generations.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 200_000
 #: Bytes of words in one recursive query.
 QUERY_BYTES = 1 << 19
 #: Largest rank file that is sent to the workers.
@@ -63,6 +64,9 @@ def read_ranks(path: str) -> bytes:
     return data
 
 
+_PACK = struct.Struct("=i").pack
+
+
 class Codec:
     """One DuckDB connection with the merge table and the vocabulary of a rank file."""
 
@@ -77,7 +81,7 @@ class Codec:
             for cut in range(1, len(token))
             if (left := self.ranks.get(token[:cut])) is not None and (right := self.ranks.get(token[cut:])) is not None
         ]
-        self.merge = {(a, b): m for a, b, m in pairs}
+        self.piece = {r: t for t, r in self.ranks.items()}
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.find = regex.compile(pattern).findall
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "350MB"})
@@ -87,15 +91,19 @@ class Codec:
         ids = list(self.ranks.values())
         self.con.register("voc_in", pa.table({"id": pa.array(ids, pa.int32()), "piece": pa.array([t.decode("latin-1") for t in self.ranks])}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM voc_in")
-        self.words: tuple[dict, dict] = ({}, {})
-        self.chunks: tuple[dict, dict] = ({}, {})
+        # packed to single byte strings: a word's ids as 32-bit numbers; a stretch's ids as text, a zero, its bytes
+        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+
+    def _merge(self, a: int, b: int) -> int | None:
+        return self.ranks.get(self.piece[a] + self.piece[b])
 
     def _long(self, word: bytes) -> list[int]:
         """Leftmost minimum-rank contraction by a heap over a linked list."""
         ids = self.byte[np.frombuffer(word, np.uint8)].tolist()
         n = len(ids)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := self.merge.get((ids[i], ids[i + 1]))) is not None]
+        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := self._merge(ids[i], ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             m, i, left, right = heapq.heappop(heap)
@@ -106,10 +114,10 @@ class Codec:
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                if (x := self.merge.get((m, ids[k]))) is not None:
+                if (x := self._merge(m, ids[k])) is not None:
                     heapq.heappush(heap, (x, i, m, ids[k]))
             h = before[i]
-            if h >= 0 and (x := self.merge.get((ids[h], m))) is not None:
+            if h >= 0 and (x := self._merge(ids[h], m)) is not None:
                 heapq.heappush(heap, (x, h, ids[h], m))
         return [x for x in ids if x >= 0]
 
@@ -138,9 +146,9 @@ class Codec:
                 continue
             data = word.encode()
             if (rank := self.ranks.get(data)) is not None:
-                new[word] = [rank]
+                new[word] = _PACK(rank)
             elif len(data) > LONG_WORD:
-                new[word] = self._long(data)
+                new[word] = np.array(self._long(data), np.int32).tobytes()
             else:
                 todo.append((word, data))
         at = 0
@@ -150,7 +158,7 @@ class Codec:
                 total += len(todo[to][1])
                 to += 1
             for (word, _), ids in zip(todo[at:to], self._query([d for _, d in todo[at:to]]), strict=True):
-                new[word] = ids
+                new[word] = np.array(ids, np.int32).tobytes()
             at = to
 
     def decode(self, rows: list[list[int]]) -> list[bytes]:
@@ -170,7 +178,7 @@ class Codec:
         return out
 
     def encode_chunks(self, chunks: list[str]) -> None:
-        """Cache (ids as text, decoded bytes) of stretches of text that pre-tokenise on their own."""
+        """Cache the ids and the decoded bytes of stretches of text that pre-tokenise on their own."""
         new, old = self.chunks
         todo = []
         for c in chunks:
@@ -184,9 +192,9 @@ class Codec:
         split = [self.find(c) for c in todo]
         words = list({w for s in split for w in s})
         self.encode_words(words)
-        ids = [[x for w in s for x in self.words[0][w]] for s in split]
+        ids = [np.frombuffer(b"".join([self.words[0][w] for w in s]), np.int32).tolist() for s in split]
         for c, i, b in zip(todo, ids, self.decode(ids), strict=True):
-            new[c] = (",".join(map(str, i)), b)
+            new[c] = b"%b\0%b" % (",".join(map(str, i)).encode(), b)
 
     def rest(self) -> None:
         """Age the caches; to be called between slices."""
@@ -249,11 +257,11 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
             known = codec.chunks[0]
             n, ids_hex, out_hex = [], [], []
             for s in split:
-                got = [known[p] for p in s]
-                ids = ",".join([g[0] for g in got])
-                n.append(ids.count(",") + 1 if ids else 0)
-                ids_hex.append(hashlib.sha256(ids.encode()).hexdigest())
-                out_hex.append(hashlib.sha256(b"".join([g[1] for g in got])).hexdigest())
+                got = [known[p].partition(b"\0") for p in s]
+                ids = b",".join([g[0] for g in got])
+                n.append(ids.count(b",") + 1 if ids else 0)
+                ids_hex.append(hashlib.sha256(ids).hexdigest())
+                out_hex.append(hashlib.sha256(b"".join([g[2] for g in got])).hexdigest())
             codec.rest()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(out_hex)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -273,7 +281,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
             split = [pieces(t) for t in _texts(batch, text_col)]
             codec.encode_chunks(list({p for s in split for p in s}))
             known = codec.chunks[0]
-            ids = [[int(x) for p in s for x in known[p][0].split(",")] for s in split]
+            ids = [[int(x) for p in s for x in known[p].partition(b"\0")[0].split(b",")] for s in split]
             codec.rest()
             keep = [i for i, name in enumerate(batch.schema.names) if name != out_col]
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(ids, pa.list_(pa.int32()))], [*(batch.schema.names[i] for i in keep), out_col])
