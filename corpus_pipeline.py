@@ -47,7 +47,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
+    return bpe.digests(docs, public_tokenizers.path(RANKS), public_tokenizers.PATTERN, cache_words=100_000)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -17,6 +17,7 @@ rounds of a query would take quadratic time there.
 from __future__ import annotations
 
 import base64
+import ctypes
 import hashlib
 import heapq
 import re
@@ -64,16 +65,19 @@ def read_ranks(path: str) -> bytes:
     return data
 
 
+#: glibc keeps freed blocks unless told otherwise; other libraries lack the call.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _PACK = struct.Struct("=i").pack
 
 
 class Codec:
     """One DuckDB connection with the merge table and the vocabulary of a rank file."""
 
-    def __init__(self, data: bytes, pattern: str):
+    def __init__(self, data: bytes, pattern: str, cache_words: int = CACHE_WORDS):
         import duckdb
         import regex
 
+        self.cache_words = cache_words
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
         pairs = [
             (left, right, rank)
@@ -197,21 +201,24 @@ class Codec:
             new[c] = b"%b\0%b" % (",".join(map(str, i)).encode(), b)
 
     def rest(self) -> None:
-        """Age the caches; to be called between slices."""
-        if len(self.words[0]) > CACHE_WORDS:
+        """Age the caches and give free memory back to the system; to be called between slices."""
+        if len(self.words[0]) > self.cache_words:
             self.words = ({}, self.words[0])
-        if len(self.chunks[0]) > CACHE_WORDS:
+        if len(self.chunks[0]) > self.cache_words:
             self.chunks = ({}, self.chunks[0])
+        pa.default_memory_pool().release_unused()
+        if _TRIM is not None:
+            _TRIM(0)
 
 
-_codecs: dict[tuple[str, str], Codec] = {}
+_codecs: dict[tuple[str, str, int], Codec] = {}
 
 
-def _codec(data: bytes, pattern: str) -> Codec:
-    key = (hashlib.sha256(data).hexdigest(), pattern)
+def _codec(data: bytes, pattern: str, cache_words: int = CACHE_WORDS) -> Codec:
+    key = (hashlib.sha256(data).hexdigest(), pattern, cache_words)
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(data, pattern)
+        _codecs[key] = Codec(data, pattern, cache_words)
     return _codecs[key]
 
 
@@ -239,19 +246,22 @@ def _texts(batch: pa.RecordBatch, text: str) -> list[str]:
     return column(batch, text).to_pylist()
 
 
-def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[pa.RecordBatch]:
     from .textnp import slices
 
-    return slices(batches, text, 4 << 20)
+    return slices(batches, text, size)
 
 
-def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, ``n_tokens``, ``ids_sha256`` (ids joined by commas), ``decoded_sha256`` (bytes decoded from the ids)."""
+def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Per row: id, ``n_tokens``, ``ids_sha256`` (ids joined by commas), ``decoded_sha256`` (bytes decoded from the ids).
+
+    ``cache_words`` bounds a generation of a worker's caches: fewer words take less memory and more time.
+    """
     data = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_file))  # at most MAX_RANK_FILE bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data.value, pattern)
-        for batch in _slices(batches, "text"):
+        codec = _codec(data.value, pattern, cache_words)
+        for batch in _slices(batches, "text", 10 * cache_words):
             split = [pieces(t) for t in _texts(batch, "text")]
             codec.encode_chunks(list({p for s in split for p in s}))
             known = codec.chunks[0]
@@ -277,7 +287,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data.value, pattern)
-        for batch in _slices(batches, text_col):
+        for batch in _slices(batches, text_col, 10 * CACHE_WORDS):
             split = [pieces(t) for t in _texts(batch, text_col)]
             codec.encode_chunks(list({p for s in split for p in s}))
             known = codec.chunks[0]
