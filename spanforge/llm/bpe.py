@@ -39,7 +39,7 @@ MAX_RANK_FILE = 64 << 20
 
 _ENCODE = """
 WITH RECURSIVE state(w, ts) AS (
-    SELECT w, list(t ORDER BY p) FROM symbols GROUP BY w
+    SELECT w, ts FROM symbols
   UNION ALL
     SELECT w, ts[1:(hit - 1)] || [merged] || ts[(hit + 2):]
     FROM (SELECT w, any_value(ts) AS ts, (min(k) & 16777215)::INT AS hit, (min(k) >> 24)::INT AS merged
@@ -126,17 +126,19 @@ class Codec:
         return [x for x in ids if x >= 0]
 
     def _query(self, words: list[bytes]) -> list[list[int]]:
-        lens = np.fromiter(map(len, words), np.int64, len(words))
-        at = np.repeat(np.cumsum(lens) - lens, lens)
-        symbols = pa.table({
-            "w": np.repeat(np.arange(len(words), dtype=np.int32), lens),
-            "p": (np.arange(int(lens.sum())) - at).astype(np.int32),
-            "t": self.byte[np.frombuffer(b"".join(words), np.uint8)],
-        })
-        self.con.register("symbols", symbols)
-        got = self.con.execute(_ENCODE).fetchall()
+        return [np.frombuffer(x, np.int32).tolist() for x in self._packed(words)]
+
+    def _packed(self, words: list[bytes]) -> list[bytes]:
+        """The packed ids of each word."""
+        ends = np.zeros(len(words) + 1, np.int32)
+        np.cumsum(np.fromiter(map(len, words), np.int32, len(words)), out=ends[1:])
+        symbols = pa.ListArray.from_arrays(ends, self.byte[np.frombuffer(b"".join(words), np.uint8)])
+        self.con.register("symbols", pa.table({"w": np.arange(len(words), dtype=np.int32), "ts": symbols}))
+        got = self.con.execute(_ENCODE).to_arrow_table().column("ids").combine_chunks()
         self.con.unregister("symbols")
-        return [ids for _, ids in got]
+        flat = got.values.to_numpy(zero_copy_only=False).astype(np.int32, copy=False).tobytes()
+        at = (got.offsets.to_numpy().astype(np.int64) * 4).tolist()
+        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def encode_words(self, words: list[str]) -> None:
         """Put the ids of words that are not cached into the cache."""
@@ -161,21 +163,24 @@ class Codec:
             while to < len(todo) and (to == at or total + len(todo[to][1]) <= QUERY_BYTES):
                 total += len(todo[to][1])
                 to += 1
-            for (word, _), ids in zip(todo[at:to], self._query([d for _, d in todo[at:to]]), strict=True):
-                new[word] = np.array(ids, np.int32).tobytes()
+            for (word, _), ids in zip(todo[at:to], self._packed([d for _, d in todo[at:to]]), strict=True):
+                new[word] = ids
             at = to
 
     def decode(self, rows: list[list[int]]) -> list[bytes]:
         """Bytes of each row of ids; an id outside the vocabulary raises ``ValueError``."""
         lens = np.fromiter(map(len, rows), np.int64, len(rows))
-        ids = np.fromiter((x for r in rows for x in r), np.int64, int(lens.sum()))
-        out = [b""] * len(rows)
+        return self._decode(np.fromiter((x for r in rows for x in r), np.int64, int(lens.sum())), lens)
+
+    def _decode(self, ids: np.ndarray, lens: np.ndarray) -> list[bytes]:
+        """Bytes of rows of ids laid end to end."""
+        out = [b""] * len(lens)
         if not len(ids):
             return out
         if ids.min() < 0 or ids.max() > max(self.ranks.values()):
             raise ValueError("an id is not in the vocabulary")
         at = np.repeat(np.cumsum(lens) - lens, lens)
-        self.con.register("rows_in", pa.table({"w": np.repeat(np.arange(len(rows), dtype=np.int32), lens), "p": (np.arange(len(ids)) - at).astype(np.int32), "id": ids.astype(np.int32)}))
+        self.con.register("rows_in", pa.table({"w": np.repeat(np.arange(len(lens), dtype=np.int32), lens), "p": (np.arange(len(ids)) - at).astype(np.int32), "id": ids.astype(np.int32)}))
         for w, piece in self.con.execute(_DECODE).fetchall():
             out[w] = piece.encode("latin-1")
         self.con.unregister("rows_in")
@@ -196,9 +201,14 @@ class Codec:
         split = [self.find(c) for c in todo]
         words = list({w for s in split for w in s})
         self.encode_words(words)
-        ids = [np.frombuffer(b"".join([self.words[0][w] for w in s]), np.int32).tolist() for s in split]
-        for c, i, b in zip(todo, ids, self.decode(ids), strict=True):
-            new[c] = b"%b\0%b" % (",".join(map(str, i)).encode(), b)
+        known = self.words[0]
+        packed = [b"".join([known[w] for w in s]) for s in split]
+        ids = np.frombuffer(b"".join(packed), np.int32)
+        lens = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        shown = list(map(str, ids.tolist()))
+        end = np.cumsum(lens)
+        for c, i, j, b in zip(todo, (end - lens).tolist(), end.tolist(), self._decode(ids, lens), strict=True):
+            new[c] = b"%b\0%b" % (",".join(shown[i:j]).encode(), b)
 
     def rest(self) -> None:
         """Age the caches and give free memory back to the system; to be called between slices."""
