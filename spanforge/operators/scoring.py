@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -63,16 +63,19 @@ def entities(spans: DataFrame) -> DataFrame:
     return spans.groupBy("entity_id").agg(F.min_by("canon", first).alias("canon"), F.min_by("identifier_class", first).alias("identifier_class"), F.bool_and("covered").alias("protected"))
 
 
-def confusion(pairs: DataFrame, truth: Column, called: Column) -> DataFrame:
-    """tp, fp, fn, tn, accuracy, precision, recall, f1, base rate and majority accuracy."""
-    n = {"tp": truth & called, "fp": ~truth & called, "fn": truth & ~called, "tn": ~truth & ~called}
-    x = pairs.agg(*[F.count_if(v).alias(k) for k, v in n.items()])
-    tp, fp, fn, tn = (F.col(k) for k in n)
+def confusion(counts: DataFrame) -> DataFrame:
+    """tp, fp, fn, tn with accuracy, precision, recall, f1, base rate and majority accuracy."""
+    tp, fp, fn, tn = (F.col(k) for k in ("tp", "fp", "fn", "tn"))
     every, p, r = tp + fp + fn + tn, L.ratio(tp, tp + fp), L.ratio(tp, tp + fn)
-    x = x.withColumns({"accuracy": L.ratio(tp + tn, every), "p": p, "r": r, "base_rate": L.ratio(tp + fn, every)})
+    x = counts.select("tp", "fp", "fn", "tn").withColumns({"accuracy": L.ratio(tp + tn, every), "p": p, "r": r, "base_rate": L.ratio(tp + fn, every)})
     return x.withColumns({"f1": L.f_beta(F.col("p"), F.col("r"), 1), "majority": F.greatest("base_rate", 1 - F.col("base_rate"))})
 
 
+def area(x: DataFrame) -> DataFrame:
+    """(n_pos, n_neg, auc) from ``w``, twice the wins of positives over negatives with ties as half, and the two counts."""
+    return x.select("n_pos", "n_neg", F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), 0.5).otherwise(F.col("w") / (2.0 * F.col("n_pos") * F.col("n_neg"))).alias("auc"))
+
+
 def auc(scored: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve by mid-ranks; ties count half, one class alone gives 0.5.
 
@@ -81,7 +84,7 @@ def auc(scored: DataFrame, truth: str, score: str) -> DataFrame:
     by = scored.groupBy(score).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
     below = F.coalesce(F.sum("neg").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     x = by.withColumn("wins2", F.col("pos") * (2 * below + F.col("neg"))).agg(F.sum("wins2").alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return x.select("n_pos", "n_neg", F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), 0.5).otherwise(F.col("w") / (2.0 * F.col("n_pos") * F.col("n_neg"))).alias("auc"))
+    return area(x)
 
 
 def kappa(table: DataFrame, a: str, b: str, weight: str) -> DataFrame:
@@ -95,15 +98,57 @@ def kappa(table: DataFrame, a: str, b: str, weight: str) -> DataFrame:
     return x.select("n", "same", F.when(n * n == xy, 1.0).otherwise((same * n - xy) / (n * n - xy)).alias("kappa"))
 
 
+#: Members of a group that meet in one block.
+_BLOCK = 2048
+
+
+def same_pairs(units: DataFrame, group: str, key: str) -> DataFrame:
+    """All pairs (a, b) of one group, a < b; a null group is one too.  Large groups meet block by block, so that no task has all of one."""
+    g = units.select(F.col(group).alias("g"), F.col(key).alias("key"))
+    large = g.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / _BLOCK).cast("int").alias("m")).filter("m > 1").withColumnRenamed("g", "of")
+    g = g.join(F.broadcast(large), F.col("g").eqNullSafe(F.col("of")), "left").withColumn("m", F.coalesce("m", F.lit(1)))
+    own, every = F.pmod(F.xxhash64("key"), "m").cast("int"), F.explode(F.sequence(F.lit(0), F.col("m") - 1))
+    a = g.select(F.col("key").alias("a"), F.col("g").alias("ga"), own.alias("ia"), every.alias("ja"))
+    b = g.select(F.col("key").alias("b"), F.col("g").alias("gb"), every.alias("ib"), own.alias("jb"))
+    return a.join(b, F.col("ga").eqNullSafe(F.col("gb")) & (F.col("ia") == F.col("ib")) & (F.col("ja") == F.col("jb")) & (F.col("a") < F.col("b"))).select("a", "b")
+
+
+def different_pairs(units: DataFrame, group: str, key: str, k: int, cap: int) -> DataFrame:
+    """Every k-th pair (a, b) of different groups in key order, a < b, ``cap`` at most.
+
+    These are among the first m = k * cap such pairs, and only the last units can be without a partner, so ``a`` is
+    one of the first m units and ``b`` one of the m next of other groups.  So ``b`` is in the first 2 m of its group,
+    and in the first 4 m of all that are: 2 m may be of the group of ``a`` and m not after ``a``.  Keys are unique.
+    """
+    m = k * cap
+    u = units.select(F.col(key).alias("key"), F.col(group).alias("g")).filter("key IS NOT NULL")
+    near = u.withColumn("r", F.row_number().over(W.partitionBy("g").orderBy("key"))).filter(F.col("r") <= 2 * m).orderBy("key").limit(4 * m)
+    a = near.orderBy("key").limit(m).select(F.col("key").alias("a"), F.col("g").alias("ga"))
+    pairs = F.broadcast(a).join(near.select(F.col("key").alias("b"), F.col("g").alias("gb")), (F.col("a") < F.col("b")) & ~F.col("ga").eqNullSafe(F.col("gb")))
+    first = pairs.select("a", "b").orderBy("a", "b").limit(m)  # few rows
+    return first.withColumn("rank", F.row_number().over(W.orderBy("a", "b")) - 1).filter(F.col("rank") % k == 0).select("a", "b")
+
+
 def stride_pairs(units: DataFrame, group: str, key: str, k: int, cap: int) -> DataFrame:
     """All pairs of one group and every k-th pair of different groups in key order, ``cap`` of these at most.
 
-    For the few units of an attack; the pairs are all there are.
+    The result grows with the square of a group; ``farther`` counts its pairs without making them.
+    """
+    return same_pairs(units, group, key).withColumn("same", F.lit(True)).unionByName(different_pairs(units, group, key, k, cap).withColumn("same", F.lit(False)))
+
+
+def farther(units: DataFrame, group: str, value: str, limits: list[int]) -> DataFrame:
+    """One row: ``every``, the pairs of one group, and ``far_<limit>``, those whose values differ by more than each limit (0 or more).
+
+    Equal values are counted first, so the windows run over the distinct values of a group.  Rows without a value form no pair.
     """
-    a, b = units.select(F.col(key).alias("a"), F.col(group).alias("ga")), units.select(F.col(key).alias("b"), F.col(group).alias("gb"))
-    pairs = a.join(b, F.col("a") < F.col("b")).withColumn("same", F.col("ga") == F.col("gb"))
-    rank = F.row_number().over(W.partitionBy("same").orderBy("a", "b")) - 1
-    return pairs.withColumn("rank", rank).filter(F.col("same") | ((F.col("rank") % k == 0) & (F.col("rank") < k * cap))).select("a", "b", "same")
+    by = units.filter(F.col(value).isNotNull()).groupBy(group, value).agg(F.count(F.lit(1)).alias("n"))
+    w = W.partitionBy(group).orderBy(value)
+    z = lambda frame: F.coalesce(F.sum("n").over(frame), F.lit(0))
+    below = {"every": z(w.rowsBetween(W.unboundedPreceding, -1))} | {f"far_{t}": z(w.rangeBetween(W.unboundedPreceding, -t - 1)) for t in limits}
+    x = by.select("n", *[v.alias(c) for c, v in below.items()])
+    own = F.coalesce(F.sum(F.expr("n * (n - 1) div 2")), F.lit(0))
+    return x.agg(*[(F.coalesce(F.sum(F.col("n") * F.col(c)), F.lit(0)) + (own if c == "every" else F.lit(0))).alias(c) for c in below])
 
 
 def bootstrap(counts: DataFrame, iterations: int, seed: int) -> DataFrame:

@@ -280,32 +280,42 @@ def sensitivity_sweep(spark, d):
 
 # --- linkability ----------------------------------------------------------------------------
 def _units(spark: SparkSession, d: str) -> DataFrame:
-    """The first five documents of every source: the sessions of an attack."""
-    w = W.partitionBy("client").orderBy("doc_id")
-    x = R.documents(spark, d).select("doc_id", "client", F.length("text").alias("chars"))
-    return x.withColumn("session", F.row_number().over(w)).filter("session <= 5")
+    """All documents: the sessions of the sources under an attack."""
+    return R.documents(spark, d).select("doc_id", "client", F.length("text").alias("chars"))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    u = _units(spark, d)
-    p = Q.stride_pairs(u, "client", "doc_id", 5, 40)
-    a, b = u.select(F.col("doc_id").alias("a"), F.col("chars").alias("ca")), u.select(F.col("doc_id").alias("b"), F.col("chars").alias("cb"))
-    return p.join(a, "a").join(b, "b").select("a", "b", "same", (-F.abs(F.col("ca") - F.col("cb"))).alias("score"))
+def _different(u: DataFrame) -> DataFrame:
+    """The sampled pairs of different sources with the distance of their lengths; the score is its negative."""
+    p = Q.different_pairs(u, "client", "doc_id", 5, 40)
+    p = u.select(F.col("doc_id").alias("a"), F.col("chars").alias("ca")).join(F.broadcast(p), "a")
+    return u.select(F.col("doc_id").alias("b"), F.col("chars").alias("cb")).join(F.broadcast(p), "b").select(F.abs(F.col("ca") - F.col("cb")).alias("distance"))
 
 
 @query
 def stride_sample(spark, d):
+    """All pairs of one source, as many as there are, and the sampled pairs of different sources."""
     return Q.stride_pairs(_units(spark, d), "client", "doc_id", 5, 40)
 
 
 @query
 def confusion_metrics(spark, d):
-    return Q.confusion(_pairs(spark, d), F.col("same"), F.col("score") > -500)
+    """Pairs of ``stride_sample`` called the same where lengths differ by less than 500; those of one source are counted, not made."""
+    u = _units(spark, d)
+    same = Q.farther(u, "client", "chars", [499]).select((F.col("every") - F.col("far_499")).alias("tp"), F.col("far_499").alias("fn"))
+    other = _different(u).agg(F.count_if(F.col("distance") <= 499).alias("fp"), F.count_if(F.col("distance") > 499).alias("tn"))
+    return Q.confusion(same.join(F.broadcast(other)))  # one row each
 
 
 @query
 def roc_auc(spark, d):
-    return Q.auc(_pairs(spark, d), "same", "score")
+    """Area under the curve of the score over the pairs of ``stride_sample``, from counts of pairs beyond the few distances of different sources."""
+    u = _units(spark, d)
+    apart = [r.distance for r in _different(u).filter("distance IS NOT NULL").collect()]  # 40 at most
+    limits = sorted({t for x in apart for t in (x - 1, x) if t >= 0})
+    far = lambda t: F.col(f"far_{t}") if t >= 0 else F.col("every")
+    # pairs of one source that are closer than x win twice a half, those at x once
+    wins = sum((2 * F.col("every") - far(x - 1) - far(x) for x in apart), F.lit(0))
+    return Q.area(Q.farther(u, "client", "chars", limits).select(F.col("every").alias("n_pos"), F.lit(len(apart)).cast("long").alias("n_neg"), wins.alias("w")))
 
 
 @query

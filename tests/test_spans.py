@@ -71,6 +71,43 @@ def test_auc_equals_pairs(spark):
     assert Q.auc(spark.createDataFrame([(True, 1)], "t boolean, s long"), "t", "s").first().auc == 0.5
 
 
+def brute_pairs(rows, k, cap):
+    """All pairs of one source and every k-th of different sources, in order of ids."""
+    pairs = [(a, b) for i, a in enumerate(sorted(rows)) for b in sorted(rows)[i + 1 :]]
+    same = [(a[0], b[0], -abs(a[2] - b[2])) for a, b in pairs if a[1] == b[1]]
+    return same, [(a[0], b[0], -abs(a[2] - b[2])) for a, b in pairs if a[1] != b[1]][::k][:cap]
+
+
+@pytest.mark.parametrize("case", ["mixed", "hot first", "few others", "one source", "many sources"])
+def test_linkability_takes_all_documents(spark, tmp_path, case):
+    from spanforge.plans import catalog
+
+    rng = random.Random(case)
+    source = {"mixed": lambda i: f"s{rng.randrange(3)}", "hot first": lambda i: "hot" if i < 90 else f"s{i % 4}", "few others": lambda i: "s1" if i in (117, 119) else "s0", "one source": lambda i: "s0", "many sources": lambda i: f"s{i}"}[case]
+    rows = [(7 * i - 30, source(i), rng.choice([0, 3, 400, 499, 500, 501, 900, 1400])) for i in range(120)]
+    spark.createDataFrame([(i, "x" * n, "en", c) for i, c, n in rows], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    same, other = brute_pairs(rows, 5, 40)
+    got = catalog.stride_sample(spark, str(tmp_path)).collect()
+    assert sorted((r.a, r.b, r.same) for r in got) == sorted([(a, b, True) for a, b, _ in same] + [(a, b, False) for a, b, _ in other])
+    r = catalog.confusion_metrics(spark, str(tmp_path)).first()
+    called = [sum(x > -500 for *_, x in p) for p in (same, other)]
+    assert (r.tp, r.fp, r.fn, r.tn) == (called[0], called[1], len(same) - called[0], len(other) - called[1])
+    r = catalog.roc_auc(spark, str(tmp_path)).first()
+    wins = sum((x > y) + 0.5 * (x == y) for *_, x in same for *_, y in other)
+    assert (r.n_pos, r.n_neg) == (len(same), len(other)) and r.auc == pytest.approx(wins / (len(same) * len(other)) if same and other else 0.5)
+
+
+def test_sampled_pairs_hold_at_any_size(spark, monkeypatch):
+    monkeypatch.setattr(Q, "_BLOCK", 16)
+    rng = random.Random(8)
+    for k, cap in ((1, 3), (2, 4), (3, 2)):
+        for hot in (0.3, 0.8, 0.97):
+            rows = [(i, "s0" if rng.random() < hot else f"s{rng.randrange(1, 4)}", 0) for i in range(70)]
+            same, other = brute_pairs(rows, k, cap)
+            got = Q.stride_pairs(spark.createDataFrame(rows, "id long, g string, n long"), "g", "id", k, cap).collect()
+            assert sorted((r.a, r.b, r.same) for r in got) == sorted([(a, b, True) for a, b, _ in same] + [(a, b, False) for a, b, _ in other])
+
+
 def test_kappa_and_tier(spark):
     same = spark.createDataFrame([("A", "A", 5)], "a string, b string, n long")
     assert Q.kappa(same, "a", "b", "n").first().kappa == 1.0
