@@ -151,6 +151,10 @@ def farther(units: DataFrame, group: str, value: str, limits: list[int]) -> Data
     return x.agg(*[(F.coalesce(F.sum(F.col("n") * F.col(c)), F.lit(0)) + (own if c == "every" else F.lit(0))).alias(c) for c in below])
 
 
+#: Documents whose counts each task may hold.
+_HELD = 1_000_000
+
+
 def bootstrap(counts: DataFrame, iterations: int, seed: int) -> DataFrame:
     """(lo, mean, hi) of recall over resamples of documents, from each document's (ord, c, n) with ord = 0..size-1.
 
@@ -158,10 +162,11 @@ def bootstrap(counts: DataFrame, iterations: int, seed: int) -> DataFrame:
     """
     size = counts.count()
     draw = F.pmod(F.pmod((F.col("it") * 7919 + F.col("draw") * 104729 + seed) * 48271, F.lit(2147483647)) * 16807, F.lit(2147483647))
-    base = counts.sparkSession.range(iterations).withColumnRenamed("id", "it")
-    draws = base.select("it", F.explode(F.sequence(F.lit(0), F.lit(max(size - 1, 0)))).alias("draw")).withColumn("ord", F.pmod(draw, F.lit(max(size, 1))))
-    mult = draws.groupBy("it", "ord").agg(F.count(F.lit(1)).alias("m"))
-    stat = mult.join(counts, "ord").groupBy("it").agg(L.ratio(F.sum(F.col("m") * F.col("c")), F.sum(F.col("m") * F.col("n"))).alias("x"))
+    every = counts.sparkSession.range(iterations * size).select(F.expr(f"id div {max(size, 1)}").alias("it"), F.expr(f"id % {max(size, 1)}").alias("draw"))
+    draws = every.select("it", F.pmod(draw, F.lit(max(size, 1))).alias("ord"))
+    # draws of an iteration are neighbours, so its sums form before the shuffle; counts of more documents than this meet the draws in one
+    held = F.broadcast(counts) if size <= _HELD else counts
+    stat = draws.join(held, "ord").groupBy("it").agg(L.ratio(F.sum("c"), F.sum("n")).alias("x"))
     lo, hi = int(0.025 * iterations), int(0.975 * iterations) - 1
     s = stat.agg(F.array_sort(F.collect_list("x")).alias("s"))  # one number for each iteration
     return s.select(F.get("s", F.lit(lo)).alias("lo"), (F.aggregate("s", F.lit(0.0), lambda a, x: a + x) / F.size("s")).alias("mean"), F.get("s", F.lit(hi)).alias("hi"))

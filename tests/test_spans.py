@@ -108,6 +108,27 @@ def test_sampled_pairs_hold_at_any_size(spark, monkeypatch):
             assert sorted((r.a, r.b, r.same) for r in got) == sorted([(a, b, True) for a, b, _ in same] + [(a, b, False) for a, b, _ in other])
 
 
+def test_bootstrap_resamples_2000_times(spark, tmp_path):
+    from spanforge.plans import catalog
+
+    text = ["a@b.co and 10.0.0.1", "4111 1111 1111 1111", "call (743) 555-3824", "+1 743 555 3824 x@y.zw", "none", "deadbeefcafe" * 3, "1.2.3.4, 4.3.2.1, q@r.st, 4111-1111-1111-1111"]
+    rows = [(i, text[i * i % 11 % 7], "en", f"s{i % 3}") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    count = {}
+    for r in catalog._caught(spark, str(tmp_path)).collect():
+        c, n = count.get(r.doc_id, (0, 0))
+        count[r.doc_id] = (c + r.covered, n + 1)
+    k = [count[i] for i in sorted(count)]
+    assert 0 < sum(c for c, _ in k) < sum(n for _, n in k)
+    xs = []
+    for it in range(2000):
+        got = [k[(it * 7919 + d * 104729 + 20260601) * 48271 % 2147483647 * 16807 % 2147483647 % len(k)] for d in range(len(k))]
+        xs.append(sum(c for c, _ in got) / sum(n for _, n in got))
+    xs.sort()
+    r = catalog.bootstrap_recall(spark, str(tmp_path)).first()
+    assert (r.lo, r.hi) == (xs[50], xs[1949]) and r.mean == pytest.approx(sum(xs) / 2000)
+
+
 def test_kappa_and_tier(spark):
     same = spark.createDataFrame([("A", "A", 5)], "a string, b string, n long")
     assert Q.kappa(same, "a", "b", "n").first().kappa == 1.0
