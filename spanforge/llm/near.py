@@ -14,8 +14,9 @@ of a bucket that are not yet in one class: in blocks, each such member gets its
 by the sketches, a few at first, then more, then all that the sketches admit; rounds end as soon as
 no member had more partners than it was given.  Every comparison is confirmed on the full sets.  So a group of many near copies costs about as many comparisons as it
 has members, no bucket is capped, and no link between different classes goes unseen but for the
-odds of the method: two sets at similarity 0.85 share none of 16 bands of 4 with odds of 7 in a
-million, and the sketch bound lies four standard deviations below the threshold.
+odds of the method: there are as many bands of 4 as it takes for two sets at the threshold to share
+none with odds of at most 7.5 in a million (16 at 0.85, 23 at 0.8), and the sketch bound lies four
+standard deviations below the threshold.
 
 Everything stays in DataFrames; what is used again is written to the checkpoint folder.
 
@@ -38,7 +39,9 @@ from pyspark.sql import functions as F
 from .storage import cut
 from .textnp import Words, column, mix, raw, sets, shingles, slices
 
-BANDS, ROWS = 16, 4
+ROWS = 4
+#: Highest odds that two sets at the threshold share no band.
+MISS = 7.5e-6
 #: MinHash samples; bands use the first ones, odd sketches all.
 SAMPLES = 256
 #: 64-bit words of an odd sketch of the samples, and of the parities of a whole set.
@@ -65,10 +68,15 @@ def signatures(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
+def how_many(threshold: float) -> int:
+    """Bands of ROWS samples by which sets at ``threshold`` are missed with odds of ``MISS`` at most, as far as there are samples."""
+    return min(SAMPLES // ROWS, max(1, math.ceil(math.log(MISS) / math.log1p(-(threshold**ROWS))))) if threshold < 1 else 1
+
+
+def bands(sig: np.ndarray, count: int) -> np.ndarray:
     """One key for each band of each row."""
-    s = sig[:, : BANDS * ROWS].reshape(len(sig), BANDS, ROWS)
-    out = np.full((len(sig), BANDS), 7, np.uint64) * np.arange(1, BANDS + 1, dtype=np.uint64)
+    s = sig[:, : count * ROWS].reshape(len(sig), count, ROWS)
+    out = np.full((len(sig), count), 7, np.uint64) * np.arange(1, count + 1, dtype=np.uint64)
     for r in range(ROWS):
         out = mix(out + s[:, :, r])
     return out
@@ -107,8 +115,8 @@ def most_bits(threshold: float) -> int:
     return math.ceil(n / 2 * (1 - math.exp(-2 * m / n)) + math.sqrt(n) / 4)
 
 
-def prepare(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, n, digest, bands, odd, parity) of every row; all but id and n are null for empty sets."""
+def prepare(docs: DataFrame, id_col: str, text_col: str, k: int, count: int) -> DataFrame:
+    """(id, n, digest, bands, odd, parity) of every row with ``count`` bands; all but id and n are null for empty sets."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,7 +131,7 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 i = some[at : at + _ROWS]
                 v, e = values[ends[at] : ends[at + len(i)]], ends[at : at + len(i) + 1] - ends[at]
                 sig = signatures(v, e)
-                for kept, found in zip(traits, (bands(sig), odd_sketches(sig), parities(v, e)), strict=True):
+                for kept, found in zip(traits, (bands(sig, count), odd_sketches(sig), parities(v, e)), strict=True):
                     for j, row in zip(i.tolist(), found.view(np.int64), strict=True):
                         kept[j] = row
             for j in some.tolist():
@@ -226,7 +234,7 @@ def _differ(x: str, y: str):
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """Per row: id, ``n_shingles``, ``component_id`` and ``kept`` (the row's id is its class's smallest)."""
-    ready = cut(prepare(docs, id_col, text_col, k))
+    ready = cut(prepare(docs, id_col, text_col, k, how_many(percent / 100)))
     some = ready.filter("digest IS NOT NULL AND id IS NOT NULL")
     equal = some.groupBy("digest").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "bands", "odd", "parity"), "id").alias("x"))
     reps = cut(equal.select("digest", F.col("rep").alias("id"), "x.n", "x.bands", "x.odd", "x.parity"))

@@ -130,6 +130,18 @@ def test_near_duplicates(docs, k, percent):
     assert {r.doc_id for r in near.keep_first(docs, k=k, percent=percent).collect()} == {i for i in TEXTS if root[i] == i}
 
 
+@pytest.mark.parametrize("percent, bands", [(85, 16), (80, 23)])
+def test_bands_follow_the_threshold(docs, percent, bands):
+    x = percent / 100
+    r = near.prepare(docs.filter("doc_id = 0"), "doc_id", "text", 5, near.how_many(x)).first()
+    assert len(r.bands) == near.how_many(x) == bands and (1 - x**near.ROWS) ** len(r.bands) <= 7.5e-6
+    # sets at the threshold, from simulated samples: near.bands misses far fewer than 16 bands at 0.8 do (2.2e-4)
+    rng = np.random.default_rng(5)
+    a = rng.integers(1, 1 << 62, (100_000, near.SAMPLES)).astype(np.uint64)
+    b = np.where(rng.random(a.shape) < x, a, a + np.uint64(1))
+    assert (~(near.bands(a, bands) == near.bands(b, bands)).any(1)).sum() <= 5
+
+
 def test_personal_data(docs):
     got = {r.doc_id: r for r in crf.report(docs).collect()}
     r = got[11]
