@@ -21,8 +21,9 @@ standard deviations below the threshold.
 Everything stays in DataFrames; what is used again is written to the checkpoint folder.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; texts with
-fewer words than a shingle have their whole sequence as one; rows with the same id form one class;
-a row with a null id has a null class and is kept; an empty table gives an empty result.
+fewer words than a shingle have their whole sequence as one; rows that share an id but not the text
+are linked each by its own text, and a class is named by its smallest id; a row with a null id has a
+null class and is kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -115,8 +116,17 @@ def most_bits(threshold: float) -> int:
     return math.ceil(n / 2 * (1 - math.exp(-2 * m / n)) + math.sqrt(n) / 4)
 
 
+def text_key(text_col: str):
+    """128 bits that tell texts apart; a null text differs from an empty one."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(F.concat(F.lit("="), F.col(text_col).cast("string")), F.lit("")), 256)), 1, 16)
+
+
+def set_digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
 def prepare(docs: DataFrame, id_col: str, text_col: str, k: int, count: int) -> DataFrame:
-    """(id, n, digest, bands, odd, parity) of every row with ``count`` bands; all but id and n are null for empty sets."""
+    """(id, text_key, n, digest, bands, odd, parity) of every row with ``count`` bands; all but the first three are null for empty sets."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,27 +145,29 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, k: int, count: int) ->
                     for j, row in zip(i.tolist(), found.view(np.int64), strict=True):
                         kept[j] = row
             for j in some.tolist():
-                digest[j] = hashlib.blake2b(values[o[j] : o[j + 1]].tobytes(), digest_size=16).digest()
+                digest[j] = set_digest(values[o[j] : o[j + 1]])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), *(pa.array(t, pa.list_(pa.int64())) for t in traits)],
-                ["id", "n", "digest", "bands", "odd", "parity"],
+                [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), pa.array(digest, pa.binary()), *(pa.array(t, pa.list_(pa.int64())) for t in traits)],
+                ["id", "text_key", "n", "digest", "bands", "odd", "parity"],
             )
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, n long, digest binary, bands array<long>, odd array<long>, parity array<long>")
+    rows = docs.select(F.col(id_col).alias("id"), text_key(text_col).alias("text_key"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, text_key binary, n long, digest binary, bands array<long>, odd array<long>, parity array<long>")
 
 
-def full_sets(docs: DataFrame, ids: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, hashes) of the rows of ``docs`` whose id is in ``ids``, one row for each id."""
+def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(id, hashes) of each (id, rep, digest) of ``nodes``: the set with that digest, from a row of ``docs`` with the id ``rep``."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             values, o = shingle_sets(column(batch, "text"), k)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(values.view(np.int64)))], ["id", "hashes"])
+            digest = [set_digest(values[i:j]) for i, j in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(values.view(np.int64)))], ["rep", "digest", "hashes"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(ids, "id", "left_semi")
-    return rows.mapInArrow(run, f"id {kind}, hashes array<long>")
+    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(nodes.select("rep").distinct(), "rep", "left_semi")
+    found = rows.mapInArrow(run, f"rep {kind}, digest binary, hashes array<long>").dropDuplicates(["rep", "digest"])
+    return found.join(nodes, ["rep", "digest"]).select("id", "hashes")
 
 
 def confirm(pairs: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
@@ -232,12 +244,16 @@ def _differ(x: str, y: str):
     return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, z: total + z)
 
 
-def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """Per row: id, ``n_shingles``, ``component_id`` and ``kept`` (the row's id is its class's smallest)."""
+def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, text_key, n, digest) of every row, and (digest, class, smallest id of the class) of every set.
+
+    A set is a node by a number of its own, as rows that share an id may hold different sets.
+    """
     ready = cut(prepare(docs, id_col, text_col, k, how_many(percent / 100)))
     some = ready.filter("digest IS NOT NULL AND id IS NOT NULL")
     equal = some.groupBy("digest").agg(F.min("id").alias("rep"), F.min_by(F.struct("n", "bands", "odd", "parity"), "id").alias("x"))
-    reps = cut(equal.select("digest", F.col("rep").alias("id"), "x.n", "x.bands", "x.odd", "x.parity"))
+    # numbers are fixed by the checkpoint
+    reps = cut(equal.select("digest", "rep", F.monotonically_increasing_id().alias("id"), "x.n", "x.bands", "x.odd", "x.parity"))
     member = reps.select("id", F.posexplode("bands").alias("band", "value"))
     bucket = member.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first")).filter("size > 1")
     member = cut(member.join(bucket, ["band", "value"]))
@@ -252,7 +268,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         & (_differ("odda", "oddb") <= bits)
     ).select("a", "b")
     involved = member.select("id").distinct()
-    texts = cut(full_sets(docs, involved, id_col, text_col, k).dropDuplicates(["id"]))
+    texts = cut(full_sets(docs, reps.select("id", "rep", "digest").join(involved, "id", "left_semi"), id_col, text_col, k))
     tried = cut(star)
     links = cut(confirm(tried, texts, percent))
     label = components(involved, links)
@@ -281,13 +297,29 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
             label = components(involved, links)
         if last:
             break
-    of_digest = reps.select("digest", F.col("id").alias("rep")).join(label.select(F.col("id").alias("rep"), "class"), "rep", "left").select("digest", F.coalesce("class", "rep").alias("class"))
-    out = ready.select("id", "n", "digest").join(of_digest, "digest", "left").withColumn("class", F.coalesce("class", "id"))
+    of_digest = reps.select("digest", "rep", "id").join(label, "id", "left").select("digest", "rep", F.coalesce("class", "id").alias("class"))
+    return ready.select("id", "text_key", "n", "digest"), cut(of_digest.join(of_digest.groupBy("class").agg(F.min("rep").alias("smallest")), "class").select("digest", "class", "smallest"))
+
+
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """Per row: id, ``n_shingles``, ``component_id`` and ``kept`` (the row's id is its class's smallest)."""
+    rows, of_digest = _linked(docs, id_col, text_col, k, percent)
+    out = rows.filter("id IS NOT NULL").join(of_digest, "digest", "left").select("id", "n", F.coalesce("smallest", "id").alias("class"))
+    out = out.unionByName(rows.filter("id IS NULL").select("id", "n", F.col("id").alias("class")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("class").alias("component_id"), F.coalesce(F.col("id") == F.col("class"), F.lit(True)).alias("kept"))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each class of near duplicates, columns unchanged; rows that repeat an id give one row."""
-    gone = classes(docs, id_col, text_col, k, percent).filter("NOT kept").select(id_col).distinct()
-    same = docs.filter(F.col(id_col).isNull()).unionByName(docs.filter(F.col(id_col).isNotNull()).join(gone, id_col, "left_anti").select(docs.columns).dropDuplicates([id_col]))
-    return same.select(docs.columns)
+    """One row of each class of near duplicates, columns unchanged: of the smallest id, then of the smallest key of the text.
+
+    Rows without a word or an id are in no class.  Rows that repeat id and text give one row, the
+    first by the other columns; those that share only the id are told apart.
+    """
+    rows, of_digest = _linked(docs, id_col, text_col, k, percent)
+    member = rows.filter("id IS NOT NULL").join(of_digest, "digest").select("class", F.struct("id", "text_key").alias("row")).distinct()
+    first = member.groupBy("class").agg(F.min("row").alias("first"))
+    gone = member.join(first, "class").filter("row != first").select(F.col("row.id").alias("_id"), F.col("row.text_key").alias("_key")).distinct()
+    known = docs.filter(F.col(id_col).isNotNull()).withColumns({"_id": F.col(id_col), "_key": text_key(text_col)}).join(gone, ["_id", "_key"], "left_anti")
+    order = [F.col(f"`{f.name}`") for f in docs.schema if f.name != text_col and "map<" not in f.dataType.simpleString()]
+    once = known.groupBy("_id", "_key").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(*order)).alias("row"))
+    return docs.filter(F.col(id_col).isNull()).unionByName(once.select("row.*"))

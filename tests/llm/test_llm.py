@@ -130,6 +130,27 @@ def test_near_duplicates(docs, k, percent):
     assert {r.doc_id for r in near.keep_first(docs, k=k, percent=percent).collect()} == {i for i in TEXTS if root[i] == i}
 
 
+def test_rows_that_share_an_id_but_not_the_text(spark):
+    words = lambda tag, n=60: " ".join(f"{tag}{j}" for j in range(n))
+    rows = [
+        (1, words("a"), "x"), (2, words("b"), "x"), (2, words("b") + " more", "x"),  # two near texts under one id: one stays
+        (5, words("a") + " end", "x"), (5, words("c"), "x"),  # one text repeats document 1, the other is unique
+        (6, words("c") + " end", "x"),  # linked with the second text of 5, not with its first
+        (7, words("d"), "q"), (7, words("d"), "p"), (8, None, "x"), (8, "", "x"), (8, "", "x"), (None, words("a"), "x"), (None, words("a"), "x"),
+    ]
+    t = spark.createDataFrame(rows, "doc_id long, text string, extra string")
+    want = [r for i, r in enumerate(rows) if i in (0, 4, 7, 8, 9, 11, 12)]
+    for parts in (1, 5):
+        got = [tuple(r) for r in near.keep_first(t.repartition(parts)).collect()]
+        twins = [r for r in got if r[0] == 2]
+        assert len(twins) == 1 and twins[0] in rows
+        assert sorted((r for r in got if r[0] != 2), key=str) == sorted(want, key=str)
+        again = twins if parts == 1 else again
+        assert twins == again
+    by = {(r.doc_id, r.component_id) for r in near.classes(t).collect()}
+    assert by == {(1, 1), (2, 2), (5, 1), (5, 5), (6, 5), (7, 7), (8, 8), (None, None)}
+
+
 @pytest.mark.parametrize("percent, bands", [(85, 16), (80, 23)])
 def test_bands_follow_the_threshold(docs, percent, bands):
     x = percent / 100
