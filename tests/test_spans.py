@@ -163,6 +163,14 @@ def test_sources_and_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
 
+def test_manifest_names_both_sides(spark, tmp_path):
+    from spanforge.plans import catalog
+
+    spark.createDataFrame([(i, "x", "en", "s0") for i in range(7)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in (1, 2, 2, 5, 90, 91, 92)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert tuple(catalog.manifest_validation(spark, str(tmp_path)).first()) == (4, 3)
+
+
 def test_every_oracle_has_a_query():
     import __spark_entry__ as e
 
