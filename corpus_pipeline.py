@@ -58,7 +58,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("tokenize", tokenize),
 ]
 
-#: The CRF and the recursive merges are beyond SQL; tests compare ``run`` with a brute-force version.
+#: The CRF and the recursive merges are beyond SQL; a test compares all rows of ``run`` with brute force on a fixture whose personal data are known.
 ORACLE_SQL: str | None = None
 
 

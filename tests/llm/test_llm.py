@@ -261,3 +261,51 @@ def test_pipeline_stages_keep_columns(spark, docs, tmp_path):
     assert {r.doc_id for r in one} == {0, 7}
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, str(tmp_path)).columns == docs.columns
+
+
+def test_pipeline_rows_equal_brute_force(spark, tmp_path):
+    import tiktoken
+
+    import corpus_pipeline
+
+    def kept_by_rules(t):
+        w = WORD.findall(t or "")
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        grams = Counter(tuple(w[k : k + 8]) for k in range(len(w) - 7))
+        cover = {p for k in range(len(w) - 7) if grams[tuple(w[k : k + 8])] > 1 for p in range(k, k + 8)}
+        chars = sum(map(len, w))
+        symbols = len(re.findall(r"[#*$%&|<>]", t or ""))
+        return len(w) >= 20 and 100 * len(cover) <= 30 * len(w) and 2 * len(w) <= chars <= 25 * len(w) and 2 * symbols <= len(w) and 2 * (len(lines) - len(set(lines))) <= len(lines)
+
+    def shingles(t):
+        w = WORD.findall(fold(t))
+        return {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+
+    private = {"a.b@example.com": "<EMAIL>", "+1 (743) 555-3824": "<PHONE>", "10.0.0.255": "<IP>", "4111 1111 1111 1111": "<CARD>"}
+    item = "seven green boats were pulled over the frozen river by patient old horses"
+    tail = " Write to a.b@example.com, call +1 (743) 555-3824, or look at 10.0.0.255 with 4111 1111 1111 1111 at hand 😀 é."
+    texts = TEXTS | {20: TEXTS[0] + tail, 21: LONG.replace("word", "wall") + tail, 22: LONG.replace("word", "tree") + " Seven green BOATS were\npulled over the frozen river by patient old horses."}
+    rows = [(i, t, "en", f"s{i % 3}", None if t is None else len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    left = {i: t for i, t in texts.items() if kept_by_rules(t)}
+    root = {i: i for i in left}
+    for a in sorted(left):
+        for b in sorted(left):
+            x, y = shingles(left[a]), shingles(left[b])
+            if a < b and 100 * len(x & y) >= 80 * len(x | y):
+                lo, hi = sorted((root[a], root[b]))
+                root = {i: lo if r == hi else r for i, r in root.items()}
+    left = {i: t for i, t in left.items() if root[i] == i and item not in " ".join(fold(t).split())}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(P.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    want = {}
+    for i, t in left.items():
+        for value, mark in private.items():
+            t = t.replace(value, mark)
+        ids = enc.encode_ordinary(t)
+        want[i] = (len(ids), sha(",".join(map(str, ids)).encode()), sha(t.encode()))
+    assert {0, 20, 21} <= set(want) and 22 not in want
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()} == want
