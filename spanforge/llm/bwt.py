@@ -2,8 +2,8 @@
 
 Two occurrences of a string of LENGTH bytes share its smallest hashed q-gram, its key.  So windows
 of one key form an independent problem, and keys seen once in the corpus are none at all.  Blocks
-of documents send their keys to counters and learn which of them recur; the stretches around
-recurring keys go, each different stretch once with the smallest document that has it, to the
+of documents learn from a tree of counters (``tally``) which of their keys recur; the stretches
+around recurring keys, each different one once with the smallest document that has it, go to the
 group of their key.  A group cuts its stretches into shards, sorts the suffixes of each shard on
 its own, and merges the shards' transforms by interleave refinement: the interleave of all shards
 is refined from order by h bytes to order by h+1 by a stable scatter of the merged transform,
@@ -11,10 +11,17 @@ which also marks where neighbours begin to differ, that is their common prefixes
 rounds the unmarked runs are the repeated intervals; their smallest document decides which windows
 of which documents are repeats.  Equal texts are compared once, by their smallest document.
 
+Keys that occur very often are cut again by a second key under another hash, so that no group has
+to hold all surroundings of a frequent passage; windows that agree agree in both keys.
+
+Stretches travel with key and content hash and what is found out about them comes back with both;
+a block that gets an answer for a stretch it does not have raises an error.  Stretches depend on
+their own text alone, not on the order of rows or on where a block's buffer is cut.
+
 Defined results: a null text is an empty one; texts shorter than LENGTH keep all their bytes; rows
 with the same id never make each other's bytes repeats; rows with a null id keep everything and
-make no repeats.  Stretches of one key are compared in one task; there is one for each different
-surrounding of a passage, however often it occurs.
+make no repeats; an empty table gives an empty result.  The id must be an integer column, anything
+else raises ``TypeError``.
 """
 
 from __future__ import annotations
@@ -24,200 +31,218 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .tally import BITS, DOWN, UP, Tree, totals
 from .textnp import _BYTE, U64, _tables, mix, raw
 
 LENGTH = 50
-Q = 16
+Q = 24
 #: Most windows of one stretch; longer ones are cut, as each window is a matter of its own.
 RUN = 64
 #: Bytes of text in a block, and of stretches in a shard.
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 1 << 15
 #: Bytes of stretches merged at a time.
-MERGE_BYTES = 1 << 20
-_PIECE = 1 << 19
+MERGE_BYTES = 1 << 18
+#: Occurrences from which a key is cut by a second one.
+HOT = 1 << 14
+#: Bytes of a buffer that are worked on at a time.
+PIECE = 1 << 19
 _W = LENGTH - Q + 1
+_SECOND = U64(0xD6E8FEB86659FD93)
 
 
-def window_keys(data: np.ndarray) -> np.ndarray:
-    """The key of each window of LENGTH bytes."""
+def window_keys(data: np.ndarray, salt: U64 | None = None) -> np.ndarray:
+    """The key of each window of LENGTH bytes: its smallest hashed q-gram."""
     n = len(data) - LENGTH + 1
     if n <= 0:
         return np.zeros(0, U64)
     eight = np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), 0, (1,))
-    m = mix(eight[:-8] * U64(0x9E3779B97F4A7C15) + eight[8:])
+    m = eight[: len(data) - Q + 1] * U64(0x9E3779B97F4A7C15)
+    for at in range(8, Q, 8):
+        m = mix(m) * U64(0x9E3779B97F4A7C15) + eight[at : len(data) - Q + 1 + at]
+    m = mix(m if salt is None else m ^ salt)
     span = 1
     while span * 2 <= _W:
         m = np.minimum(m[:-span], m[span:])
         span *= 2
     if span < _W:
-        m = np.minimum(m[: n], m[_W - span : _W - span + n])
+        m = np.minimum(m[:n], m[_W - span : _W - span + n])
     return mix(m[:n])
 
 
-def runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(key, first window, number of windows) of maximal runs of windows of one text with one key, RUN at most."""
-    keys, starts, sizes = [], [], []
-    inside = np.zeros(len(data) + 1, np.int32)
+def cut_runs(start: np.ndarray, n: np.ndarray, *with_: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of windows cut every RUN windows from their start."""
+    pieces = -(-n // RUN)
+    if not len(n) or pieces.max() == 1:
+        return start, n, *with_
+    nth = np.arange(int(pieces.sum())) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    return np.repeat(start, pieces) + nth * RUN, np.minimum(np.repeat(n, pieces) - nth * RUN, RUN), *(np.repeat(w, pieces) for w in with_)
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, first window, number of windows) of maximal runs of windows of one text with one key, cut every RUN."""
     long_ = np.flatnonzero(np.diff(offsets) >= LENGTH)
-    np.add.at(inside, offsets[long_], 1)
-    np.add.at(inside, offsets[long_ + 1] - LENGTH + 1, -1)
-    valid = np.cumsum(inside[:-1]) > 0
-    first = np.zeros(len(data) + 1, bool)
-    first[offsets[long_]] = True
-    for at in range(0, len(data), _PIECE):
-        part = data[at : at + _PIECE + LENGTH - 1]
-        k = window_keys(part)
-        ok = valid[at : at + len(k)]
-        new = ok.copy()
-        new[1:] &= (k[1:] != k[:-1]) | ~ok[:-1] | first[at + 1 : at + len(k)]
+    if not len(long_):
+        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    begin, end = offsets[long_], offsets[long_ + 1] - LENGTH + 1  # windows of each text
+    keys, starts = [], []
+    last = U64(0)
+    for at in range(0, len(data) - LENGTH + 1, piece):
+        k = window_keys(data[at : at + piece + LENGTH - 1])
+        new = np.empty(len(k), bool)
+        new[0] = k[0] != last or at == 0
+        np.not_equal(k[1:], k[:-1], out=new[1:])
+        a, b = np.searchsorted(begin, (at, at + len(k)))
+        new[begin[a:b] - at] = True  # a text begins a run, whatever stood before it
         s = np.flatnonzero(new)
-        if not len(s):
-            continue
-        end = np.flatnonzero(ok & np.append(~ok[1:] | new[1:], True)) + 1
-        n = end - s
-        pieces = -(-n // RUN)
-        if (pieces > 1).any():
-            s0 = np.repeat(s, pieces)
-            nth = np.arange(len(s0)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-            n = np.minimum(np.repeat(n, pieces) - nth * RUN, RUN)
-            s = s0 + nth * RUN
         keys.append(k[s])
         starts.append(s + at)
-        sizes.append(n)
-    if not keys:
-        return np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(keys), np.concatenate(starts), np.concatenate(sizes)
-
+        last = k[-1]
+    key, start = np.concatenate(keys), np.concatenate(starts)
+    text = np.searchsorted(begin, start, "right") - 1
+    inside = (text >= 0) & (start < end[text])
+    n = np.minimum(np.append(start[1:], len(data)), end[text]) - start
+    start, n, key = cut_runs(start[inside], n[inside], key[inside])
+    return key, start, n
 
-# --- which keys recur -----------------------------------------------------------------------
-def _five(x: np.ndarray) -> bytes:
-    return np.ascontiguousarray((x >> U64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def _wide(b: bytes) -> np.ndarray:
-    out = np.zeros((len(b) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(b, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
-def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
-    bounds = np.array([(i << 64) // buckets for i in range(buckets)], dtype=U64)
-    return np.append(np.searchsorted(keys, bounds), len(keys))
 
+def hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """64-bit content hash of stretches, in pieces."""
+    out = np.empty(len(start), U64)
+    order = np.argsort(start, kind="stable")
+    s = start[order]
+    up, down = _tables(piece + 4 * RUN)
+    for at in range(0, len(data), piece):
+        a, b = np.searchsorted(s, (at, at + piece))
+        if a == b:
+            continue
+        part = data[at : at + piece + RUN + LENGTH]
+        total = np.zeros(len(part) + 1, U64)
+        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
+        i = order[a:b]
+        x = start[i] - at
+        out[i] = mix((total[x + size[i]] - total[x]) * down[x])
+    return out
 
-def _own(table: pa.Table, copies: pa.Table) -> tuple[pa.Table, pa.Array]:
-    """(rows that no smaller document equals, whether each row is such)."""
-    own = pc.invert(pc.is_in(table.column("id"), value_set=copies.column("id").combine_chunks().cast(table.schema.field("id").type)))
-    return table.filter(own), own
 
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first[0], first[0]+1, ... size[0] of them, then those of the next."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
 
-def _sender(buckets: int):
-    def send(key: tuple, texts: pa.Table, copies: pa.Table) -> pa.Table:
-        table, _ = _own(texts, copies)
-        k, _, _ = runs(*raw(table.column("text").combine_chunks())) if table.num_rows else (np.zeros(0, U64),) * 3
-        u, n = np.unique(k, return_counts=True)
-        e = _edges(u, buckets)
-        rows = [i for i in range(buckets) if e[i] < e[i + 1]]
-        return pa.table({
-            "bucket": pa.array(rows, pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()),
-            "keys": pa.array([_five(u[e[i] : e[i + 1]]) for i in rows], pa.binary()), "many": pa.array([np.packbits(n[e[i] : e[i + 1]] > 1).tobytes() for i in rows], pa.binary()),
-        })
 
-    return send
+# --- a block's stretches --------------------------------------------------------------------
+def _own(texts: pa.Table, copies: pa.Table) -> tuple[pa.Table, pa.Table]:
+    """(rows that no smaller document equals, the others), in an order that the rows alone decide."""
+    texts = texts.take(pc.sort_indices(texts, [("id", "ascending"), ("digest", "ascending")]))
+    known = set(zip(copies.column("id").to_pylist(), copies.column("digest").to_pylist(), strict=True))
+    if not known:
+        return texts, texts.slice(0, 0)
+    copy = pa.array([x in known for x in zip(texts.column("id").to_pylist(), texts.column("digest").to_pylist(), strict=True)], pa.bool_())
+    return texts.filter(pc.invert(copy)), texts.filter(copy)
 
 
-def _recur(key: tuple, table: pa.Table) -> pa.Table:
-    parts = [_wide(b) for b in table.column("keys").to_pylist()]
-    many = np.concatenate([np.unpackbits(np.frombuffer(b, np.uint8), count=len(p)) for b, p in zip(table.column("many").to_pylist(), parts, strict=True)])
-    _, of = np.unique(np.concatenate(parts), return_inverse=True)
-    again = np.bincount(of, 1 + many)[of] > 1
-    out, at = [], 0
-    for p in parts:
-        out.append(np.packbits(again[at : at + len(p)]).tobytes())
-        at += len(p)
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(out, pa.binary()), "id": pa.nulls(len(out), pa.int64())})
+def _bytes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return raw(table.column("text").combine_chunks()) if table.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
 
 
 class Stretches:
-    """Stretches of a block around recurring keys: occurrences, and the different ones among them in order of key."""
+    """Stretches of a block around recurring keys: occurrences by key, content and document, and the different ones."""
 
-    def __init__(self, table: pa.Table, bits: list[tuple[int, bytes]], buckets: int):
-        self.data, self.offsets = raw(table.column("text").combine_chunks()) if table.num_rows else (np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    def __init__(self, table: pa.Table, tree: Tree, digits: list[int], answers: list[bytes], hot: int = HOT):
+        self.data, self.offsets = _bytes(table)
         k, start, n = runs(self.data, self.offsets)
-        u, of = np.unique(k, return_inverse=True)
-        again = np.zeros(len(u), bool)
-        e = _edges(u, buckets)
-        for b, data in bits:
-            again[e[b] : e[b + 1]] = np.unpackbits(np.frombuffer(data, np.uint8), count=int(e[b + 1] - e[b]))
-        keep = again[of]
-        k, start, n = k[keep], start[keep], n[keep]
+        u, of = np.unique(tree.whole(k), return_inverse=True)
+        many = tree.block_totals(u, digits, answers)[of]
+        keep = many > 1
+        k, start, n, often = k[keep], start[keep], n[keep], many[keep] >= hot
+        if often.any():
+            k, start, n = self._second(k, start, n, often)
         row = np.searchsorted(self.offsets, start, "right") - 1
         ids = table.column("id").to_numpy().astype(np.int64)[row]
         h = hashes(self.data, start, n + LENGTH - 1)
-        order = np.lexsort((ids, h, k))
-        self.key, self.start, self.n, self.id, h = k[order], start[order], n[order], ids[order], h[order]
+        order = np.lexsort((start, ids, h, k))
+        self.start, self.n, self.id = start[order], n[order], ids[order]
+        k, h = k[order], h[order]
         new = np.ones(len(order), bool)
-        new[1:] = (self.key[1:] != self.key[:-1]) | (h[1:] != h[:-1])
+        new[1:] = (k[1:] != k[:-1]) | (h[1:] != h[:-1])
         self.first = np.flatnonzero(new)
         self.count = np.diff(np.append(self.first, len(order)))
-        self.edges = _edges(self.key[self.first], buckets)
+        self.key, self.hash = k[self.first], h[self.first]  # of each different stretch
+
+    def _second(self, k: np.ndarray, start: np.ndarray, n: np.ndarray, often: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Cut the runs of frequent keys where their second key changes."""
+        size = n[often]
+        where = spread(start[often], size)
+        second = np.empty(len(where), U64)
+        order = np.argsort(where, kind="stable")
+        w = where[order]
+        for at in range(0, len(self.data) - LENGTH + 1, PIECE):
+            a, b = np.searchsorted(w, (at, at + PIECE))
+            if a < b:
+                second[order[a:b]] = window_keys(self.data[at : at + PIECE + LENGTH - 1], _SECOND)[w[a:b] - at]
+        new = np.ones(len(where), bool)
+        new[1:] = second[1:] != second[:-1]
+        new[np.cumsum(size) - size] = True
+        s = np.flatnonzero(new)
+        both = mix(np.repeat(k[often], size)[s] + second[s])
+        rest = ~often
+        return np.append(k[rest], both), np.append(start[rest], where[s]), np.append(n[rest], np.diff(np.append(s, len(where))))
 
+    def find(self, key: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Numbers of different stretches by key and content hash."""
+        both = self.key ^ mix(self.hash)
+        order = np.argsort(both, kind="stable")
+        at = order[np.minimum(np.searchsorted(both, key ^ mix(h), sorter=order), len(order) - 1)] if len(order) else np.zeros(len(key), np.int64)
+        if len(key) and (not len(order) or (self.key[at] != key).any() or (self.hash[at] != h).any()):
+            raise RuntimeError("an answer came back for a stretch that the block does not have")
+        return at
 
-def hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """64-bit content hash of stretches, in pieces."""
-    out = np.empty(len(start), U64)
-    order = np.argsort(start, kind="stable")
-    s = start[order]
-    up, down = _tables(_PIECE + 4 * RUN)
-    for at in range(0, len(data), _PIECE):
-        a, b = np.searchsorted(s, (at, at + _PIECE))
-        if a == b:
-            continue
-        part = data[at : at + _PIECE + RUN + LENGTH]
-        total = np.zeros(len(part) + 1, U64)
-        np.cumsum(_BYTE[part] * up[: len(part)], out=total[1:])
-        i = order[a:b]
-        x = start[i] - at
-        out[i] = mix((total[x + size[i]] - total[x]) * down[x])
-    return out
 
+# what goes to the tasks of a block beside its texts; kind 0: copies, 1: totals of keys, 2: marks on stretches
+_NOTE = "block long, kind int, id long, digest string, digit int, counts binary, key long, hash long, marks binary"
 
-def _bits(replies: pa.Table) -> list[tuple[int, bytes]]:
-    return [(b, d) for b, d in zip(replies.column("bucket").to_pylist(), replies.column("data").to_pylist(), strict=True) if b >= 0]
 
+def _kind(notes: pa.Table, kind: int) -> pa.Table:
+    return notes.filter(pc.equal(notes.column("kind"), kind))
 
-def _copies(replies: pa.Table) -> pa.Table:
-    return replies.filter(pc.is_valid(replies.column("id"))).select(["id"])
 
+def _totals_in(notes: pa.Table) -> tuple[list[int], list[bytes]]:
+    t = _kind(notes, 1)
+    return t.column("digit").to_pylist(), t.column("counts").to_pylist()
 
-def _emitter(buckets: int):
-    def emit(key: tuple, texts: pa.Table, replies: pa.Table) -> pa.Table:
-        table, _ = _own(texts, _copies(replies))
-        st = Stretches(table, _bits(replies), buckets)
-        pack = zstandard.ZstdCompressor(3).compress
-        rows = [i for i in range(buckets) if st.edges[i] < st.edges[i + 1]]
-        out = []
-        for i in rows:
-            f = st.first[st.edges[i] : st.edges[i + 1]]
-            size = st.n[f] + LENGTH - 1
-            at = np.cumsum(size) - size
-            body = st.data[np.repeat(st.start[f] - at, size) + np.arange(int(size.sum()))]
-            head = [st.key[f].tobytes(), st.id[f].astype("<i8").tobytes(), st.count[st.edges[i] : st.edges[i + 1]].astype("<u4").tobytes(), size.astype(np.uint8).tobytes()]
-            out.append(len(f).to_bytes(8, "little") + pack(b"".join([*head, body.tobytes()])))
-        return pa.table({"bucket": pa.array(rows, pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "data": pa.array(out, pa.binary())})
 
-    return emit
+def _sender(tree: Tree):
+    def send(key: tuple, texts: pa.Table, copies: pa.Table) -> pa.Table:
+        own, _ = _own(texts, copies)
+        k, _, _ = runs(*_bytes(own))
+        u, n = np.unique(tree.whole(k), return_counts=True)
+        return tree.block_rows(key[0].as_py(), u, n)
+
+    return send
+
 
+_FOUND = "block long, key long, hash long, low long, n long, body binary"
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    n = int.from_bytes(data[:8], "little")
-    x = zstandard.ZstdDecompressor().decompress(data[8:])
-    return np.frombuffer(x, U64, n), np.frombuffer(x, "<i8", n, 8 * n), np.frombuffer(x, "<u4", n, 16 * n), np.frombuffer(x, np.uint8, n, 20 * n), np.frombuffer(x, np.uint8, offset=21 * n)
+
+def _emitter(tree: Tree, hot: int):
+    def emit(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
+        own, _ = _own(texts, _kind(notes, 0))
+        st = Stretches(own, tree, *_totals_in(notes), hot)
+        f = st.first
+        size = st.n[f] + LENGTH - 1
+        body = np.ascontiguousarray(st.data[spread(st.start[f], size)])
+        ends = np.append(0, np.cumsum(size)).astype(np.int32)
+        return pa.table({
+            "block": pa.array(np.full(len(f), key[0].as_py(), np.int64)), "key": pa.array(st.key.view(np.int64)), "hash": pa.array(st.hash.view(np.int64)),
+            "low": pa.array(st.id[f]), "n": pa.array(st.count.astype(np.int64)),
+            "body": pa.Array.from_buffers(pa.binary(), len(f), [None, pa.py_buffer(ends), pa.py_buffer(body)]),
+        })
+
+    return emit
 
 
 # --- transforms and their merge -------------------------------------------------------------
@@ -225,23 +250,32 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
     """Suffixes of a shard in order; 0 ends each string, and of equal rests that of the earlier string comes first."""
     n = len(text)
     ends = np.flatnonzero(text == 0)
-    rank = text.astype(np.int64) + len(ends)
-    rank[ends] = np.arange(len(ends))  # terminators are all different
-    order = np.argsort(rank, kind="stable")
-    h = 1
+    string = np.zeros(n, np.int64)
+    string[ends] = 1
+    string = np.cumsum(string) - string
+    left = ends[string] - np.arange(n)  # bytes before the end of the string
+    wide = 4 if text.max(initial=0) > 255 else 8
+    pad = np.zeros(n + wide, np.uint64)
+    pad[:n] = text
+    key = np.zeros(n, U64)
+    for j in range(wide):
+        c = pad[j : n + j].copy()
+        c[left < j] = 0
+        key |= c << U64(64 - 64 // wide * (j + 1))
+    rank, h = np.empty(n, np.int64), wide
+    new = np.zeros(n, bool)
     while True:
-        r = rank[order]
-        new = np.ones(n, bool)
-        new[1:] = r[1:] != r[:-1]
-        dense = np.cumsum(new) - 1
-        if dense[-1] == n - 1:
+        order = np.argsort(key)
+        r = key[order]
+        np.not_equal(r[1:], r[:-1], out=new[1:])
+        dense = np.cumsum(new)
+        if not n or dense[-1] == n - 1:
             return order
-        rank = np.empty(n, np.int64)
         rank[order] = dense
-        second = np.zeros(n, np.int64)
-        second[: n - h] = rank[h:] + 1
-        rank = rank * (n + 1) + second
-        order = np.argsort(rank, kind="stable")
+        second = np.where(left < h, string, 0)  # of those that ended, the earlier string comes first
+        on = np.flatnonzero(left >= h)
+        second[on] = rank[on + h]
+        key = rank * n + second
         h *= 2
 
 
@@ -254,24 +288,29 @@ def merge(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]
     orders = [suffix_order(s) for s in shards]
     base = np.cumsum([0, *(len(s) for s in shards)])
     codes = np.unique(np.concatenate(shards))
-    dense = [np.searchsorted(codes, s).astype(np.int64) for s in shards]
+    number = np.zeros(int(codes[-1]) + 1, np.uint16)
+    number[codes] = np.arange(len(codes), dtype=np.uint16)
     # the bytes before each suffix are its symbol: two of them where pairs fit 16 bits, which halves the rounds
     stride = 2 if len(codes) ** 2 <= 1 << 16 and depth % 2 == 0 else 1
-    symbol = [s[o - 2] * len(codes) + s[o - 1] if stride == 2 else s[o - 1] for s, o in zip(dense, orders, strict=True)]
-    transform = np.concatenate(symbol).astype(np.uint16)
-    place = np.concatenate([o + b for o, b in zip(orders, base[:-1], strict=True)])
-    source = np.repeat(np.arange(len(shards), dtype=np.uint16), np.diff(base))
-    interval = np.zeros(len(transform), np.int32)
-    merged = np.empty_like(transform)
-    new = np.zeros(len(transform), bool)
+    transform = []
+    for s, o in zip(shards, orders, strict=True):
+        d = number[s]
+        transform.append(d[o - 2] * np.uint16(len(codes)) + d[o - 1] if stride == 2 else d[o - 1])
+    source = np.repeat(np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint16), np.diff(base))
+    interval = np.zeros(len(source), np.int32)
+    merged = np.empty(len(source), np.uint16)
+    new = np.zeros(len(source), bool)
     for _ in range(depth // stride):
-        merged[np.argsort(source, kind="stable")] = transform  # each shard's symbols in its own order
+        for i, t in enumerate(transform):
+            merged[np.flatnonzero(source == i)] = t  # each shard's symbols in its own order
         to = np.argsort(merged, kind="stable")
         source, now, old = source[to], merged[to], interval[to]
-        np.logical_or(now[1:] != now[:-1], old[1:] != old[:-1], out=new[1:])  # strings end before a window could hold an end
+        np.not_equal(now[1:], now[:-1], out=new[1:])
+        np.logical_or(new[1:], old[1:] != old[:-1], out=new[1:])  # strings end before a window could hold an end
         interval = np.cumsum(new, dtype=np.int32)
-    out = np.empty(len(place), np.int64)
-    out[np.argsort(source, kind="stable")] = place
+    out = np.empty(len(source), np.int64)
+    for i, (o, b) in enumerate(zip(orders, base[:-1], strict=True)):
+        out[np.flatnonzero(source == i)] = o + b
     return out, interval
 
 
@@ -292,90 +331,79 @@ def lowest(size: np.ndarray, flat: np.ndarray, low: np.ndarray, shard_bytes: int
     of = np.searchsorted(at, place, "right") - 1
     window = place - at[of] <= size[of] - LENGTH  # suffixes that hold a whole window
     place, interval, of = place[window], interval[window], of[window]
-    least = np.full(int(interval[-1]) + 1 if len(interval) else 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, interval, low[of])
+    edge = np.ones(len(interval), bool)
+    edge[1:] = interval[1:] != interval[:-1]
+    least = np.minimum.reduceat(low[of], np.flatnonzero(edge))
     by_place = np.zeros(len(text), np.int64)
-    by_place[place] = least[interval]
-    n = size - LENGTH + 1
-    return by_place[np.arange(int(n.sum())) + np.repeat(at - (np.cumsum(n) - n), n)]
+    by_place[place] = least[np.cumsum(edge) - 1]
+    return by_place[spread(at, size - LENGTH + 1)]
+
+
+_DECIDED = "key long, hash long, marks binary"
+#: One run of windows of a stretch and the smallest document that has them.
+MARK = np.dtype([("first", "u1"), ("last", "u1"), ("low", "<i8")])
+
+
+def _resolver(merge_bytes: int):
+    def resolve(group: tuple, table: pa.Table) -> pa.Table:
+        """Marks on the different stretches of some keys, those that any occurrence can need."""
+        table = table.take(pc.sort_indices(table, [("key", "ascending"), ("hash", "ascending")]))
+        key, h, low, count = (table.column(c).to_numpy() for c in ("key", "hash", "low", "n"))
+        flat, ends = raw(table.column("body").combine_chunks())
+        begin, size = ends[:-1], np.diff(ends)
+        other = np.ones(len(key), bool)
+        other[1:] = key[1:] != key[:-1]
+        key_no = np.cumsum(other) - 1
+        todo = np.flatnonzero(np.bincount(key_no)[key_no] > 1)
+        n = size - LENGTH + 1
+        value = np.repeat(low, n)  # smallest document of each window of each stretch
+        at = np.cumsum(n) - n
+        a = 0
+        until = np.cumsum(size[todo])
+        while a < len(todo):  # keys are independent: a few at a time
+            b = max(a + 1, int(np.searchsorted(until, (until[a - 1] if a else 0) + merge_bytes, "right")))
+            b = int(np.searchsorted(key_no[todo], key_no[todo[b - 1]], "right"))
+            u = todo[a:b]
+            value[spread(at[u], n[u])] = lowest(size[u], flat[spread(begin[u], size[u])], low[u])
+            a = b
+        edge = np.zeros(len(value), bool)
+        edge[at] = True
+        edge[1:] |= value[1:] != value[:-1]
+        run = np.flatnonzero(edge)
+        of = np.searchsorted(at, run, "right") - 1
+        mark = np.empty(len(run), MARK)
+        mark["first"] = run - at[of]
+        mark["last"] = np.append(run[1:], len(value)) - 1 - at[of]
+        mark["low"] = value[run]
+        useful = (value[run] < low[of]) | (count[of] > 1)
+        mark, of = mark[useful], of[useful]
+        which, number = np.unique(of, return_counts=True)
+        return pa.table({
+            "key": pa.array(key[which]), "hash": pa.array(h[which]),
+            "marks": pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(np.append(0, np.cumsum(number) * MARK.itemsize).astype(np.int32)), pa.py_buffer(mark.tobytes())]),
+        })
 
+    return resolve
 
-def _resolve(key: tuple, table: pa.Table) -> pa.Table:
-    """For the stretches of each block, runs of windows with the smallest document that has them."""
-    parts = [_unpack(d) for d in table.column("data").to_pylist()]
-    k, low, count, size, flat = (np.concatenate([p[i] for p in parts]) for i in range(5))
-    size = size.astype(np.int64)
-    begin = np.cumsum(size) - size
-    h = hashes(flat, begin, size)
-    order = np.lexsort((h, k))
-    new = np.ones(len(order), bool)
-    new[1:] = (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1])
-    first = np.flatnonzero(new)
-    of = np.empty(len(order), np.int64)
-    of[order] = np.cumsum(new) - 1
-    least = np.minimum.reduceat(low[order], first)
-    one = order[first]  # an entry that stands for each different stretch
-    other = np.ones(len(one), bool)
-    other[1:] = k[one][1:] != k[one][:-1]
-    key_no = np.cumsum(other) - 1
-    shared = np.bincount(key_no)[key_no] > 1
-    n = size[one] - LENGTH + 1
-    value = np.repeat(least, n)  # smallest document of each window of each different stretch
-    at = np.cumsum(n) - n
-    todo = np.flatnonzero(shared)
-    a = 0
-    while a < len(todo):  # keys are independent: a few at a time
-        total = np.cumsum(size[one[todo[a:]]])
-        b = a + max(1, int(np.searchsorted(total, MERGE_BYTES, "right")))
-        while b < len(todo) and key_no[todo[b]] == key_no[todo[b - 1]]:
-            b += 1
-        u = todo[a:b]
-        s = size[one[u]]
-        body = flat[np.repeat(begin[one[u]] - (np.cumsum(s) - s), s) + np.arange(int(s.sum()))]
-        value[np.repeat(at[u] - (np.cumsum(n[u]) - n[u]), n[u]) + np.arange(int(n[u].sum()))] = lowest(s, body, least[u])
-        a = b
-    edge = np.zeros(len(value), bool)
-    edge[at] = True
-    edge[1:] |= value[1:] != value[:-1]
-    run = np.flatnonzero(edge)
-    run_of = np.searchsorted(at, run, "right") - 1
-    run_first = run - at[run_of]
-    run_last = np.append(run[1:], len(value)) - 1 - at[run_of]
-    from_, runs_ = np.searchsorted(run_of, np.arange(len(one))), np.bincount(run_of, minlength=len(one))
-    pack = zstandard.ZstdCompressor(1).compress
-    out, begin_entry = [], 0
-    for p in parts:
-        e = np.arange(begin_entry, begin_entry + len(p[0]))
-        begin_entry += len(p[0])
-        m = runs_[of[e]]
-        r = np.repeat(from_[of[e]] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-        who = np.repeat(np.arange(len(e)), m)
-        useful = (value[run[r]] < p[1][who]) | (p[2][who] > 1)
-        r, who = r[useful], who[useful]
-        out.append(len(r).to_bytes(8, "little") + pack(who.astype("<u4").tobytes() + run_first[r].astype(np.uint8).tobytes() + run_last[r].astype(np.uint8).tobytes() + value[run[r]].astype("<i8").tobytes()))
-    return pa.table({"block": table.column("block"), "bucket": table.column("bucket"), "data": pa.array(out, pa.binary()), "id": pa.nulls(len(out), pa.int64())})
-
-
-def _assembler(buckets: int, id_type: pa.DataType):
-    def build(key: tuple, texts: pa.Table, replies: pa.Table) -> pa.Table:
-        copies = _copies(replies)
-        table, own = _own(texts, copies)
-        kind = replies.column("decided").to_numpy(zero_copy_only=False)
-        bits, marks = replies.filter(pa.array(~kind)), replies.filter(pa.array(kind))
-        st = Stretches(table, _bits(bits), buckets)
+
+def _assembler(tree: Tree, hot: int, id_type: pa.DataType):
+    def build(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
+        table, rest = _own(texts, _kind(notes, 0))
+        st = Stretches(table, tree, *_totals_in(notes), hot)
+        decided = _kind(notes, 2)
         edge = np.zeros(len(st.data) + 1, np.int32)
-        for b, data in _bits(marks):
-            n = int.from_bytes(data[:8], "little")
-            x = zstandard.ZstdDecompressor().decompress(data[8:])
-            who, a, z, low = np.frombuffer(x, "<u4", n), np.frombuffer(x, np.uint8, n, 4 * n), np.frombuffer(x, np.uint8, n, 5 * n), np.frombuffer(x, "<i8", n, 6 * n)
-            e = who.astype(np.int64) + st.edges[b]
+        if decided.num_rows:
+            e = st.find(decided.column("key").to_numpy().view(U64), decided.column("hash").to_numpy().view(U64))
+            body, ends = raw(decided.column("marks").combine_chunks())
+            mark = np.frombuffer(body.tobytes(), MARK)
+            e = np.repeat(e, np.diff(ends) // MARK.itemsize)
             m = st.count[e]
-            occ = np.repeat(st.first[e] - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))
-            r = np.repeat(np.arange(n), m)
-            hit = low[r] < st.id[occ]
+            occ = spread(st.first[e], m)
+            r = np.repeat(np.arange(len(e)), m)
+            hit = mark["low"][r] < st.id[occ]
             occ, r = occ[hit], r[hit]
-            np.add.at(edge, st.start[occ] + a[r], 1)
-            np.add.at(edge, st.start[occ] + z[r].astype(np.int64) + LENGTH, -1)
+            np.add.at(edge, st.start[occ] + mark["first"][r], 1)
+            np.add.at(edge, st.start[occ] + mark["last"][r].astype(np.int64) + LENGTH, -1)
         data, offsets = st.data, st.offsets
         gone = np.cumsum(edge[:-1]) > 0
         rise = gone.copy()
@@ -386,7 +414,7 @@ def _assembler(buckets: int, id_type: pa.DataType):
         body, n = data.tobytes(), count(gone)
         digest = [hashlib.sha256(body[a:b] if not c else data[a:b][~gone[a:b]].tobytes()).hexdigest() for a, b, c in zip(offsets[:-1].tolist(), offsets[1:].tolist(), n.tolist(), strict=True)]
         kept = pa.table({"id": table.column("id").cast(id_type), "n_bytes": pa.array(np.diff(offsets)), "n_removed": pa.array(n), "n_spans": pa.array(count(rise)), "kept_sha256": pa.array(digest, pa.string())})
-        rest = texts.filter(pc.invert(own))  # equal to a smaller document: all of a text that holds a window goes
+        # equal to a smaller document: all of a text that holds a window goes
         size = pc.binary_length(rest.column("text")).cast(pa.int64()).to_numpy()
         whole = size >= LENGTH
         digest = [hashlib.sha256(b"" if w else t.encode()).hexdigest() for t, w in zip(rest.column("text").to_pylist(), whole.tolist(), strict=True)]
@@ -396,29 +424,56 @@ def _assembler(buckets: int, id_type: pa.DataType):
     return build
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+#: Parts into which the copies of one text are dealt when they look up its smallest document.
+SALT = 16
+
+
+def _copies(rows: DataFrame) -> DataFrame:
+    """(block, id, digest) of rows that a smaller document equals."""
+    light = rows.select("block", "id", "digest", F.pmod(F.xxhash64("id"), F.lit(SALT)).alias("salt"))
+    equal = light.groupBy("digest").agg(F.min("id").alias("smallest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    equal = equal.select("digest", "smallest", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALT - 1).cast("long"))).alias("salt"))
+    return light.join(equal, ["digest", "salt"]).filter("id > smallest").select("block", "id", "digest").distinct()
+
+
+def _note(df: DataFrame, kind: int) -> DataFrame:
+    """``df`` with the columns of ``_NOTE``, those it lacks as nulls."""
+    have = set(df.columns)
+    cols = []
+    for part in _NOTE.split(", "):
+        name, type_ = part.split(" ")
+        cols.append((F.lit(kind) if name == "kind" else F.col(name) if name in have else F.lit(None)).cast(type_).alias(name))
+    return df.select(*cols)
+
+
+def dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, digit_bits: int = BITS, hot: int = HOT, merge_bytes: int = MERGE_BYTES
+) -> DataFrame:
     """Per row: id, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept_sha256``; the id must be an integer."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
     kind = docs.schema[id_col].dataType
-    total = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
+    if not isinstance(kind, T.ByteType | T.ShortType | T.IntegerType | T.LongType):
+        raise TypeError(f"{id_col} must be an integer column, not {kind.simpleString()}")
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    all_rows = docs.select(docs[id_col].alias("id"), text.alias("text"))
+    total = all_rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     blocks = max(1, -(-((total[0] or 0) + 64 * total[1]) // block_bytes))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    light = rows.filter("id IS NOT NULL").select("block", "id", F.md5("text").alias("digest"))
-    equal = light.groupBy("digest").agg(F.min("id").alias("smallest"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    copies = light.join(equal, "digest").filter("id > smallest").select("block", F.col("id").cast("long")).toDF("block", "id")  # names of their own, apart from those of the texts
-    texts = rows.filter("id IS NOT NULL").repartition(blocks, "block")
-    by_block = texts.groupBy("block")
-    as_reply = copies.select("block", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("data"), "id")
-    reply = "block int, bucket int, data binary, id long"
-    sent = by_block.cogroup(copies.groupBy("block")).applyInArrow(_sender(blocks), "bucket int, block int, keys binary, many binary")
-    again = sent.groupBy("bucket").applyInArrow(_recur, reply).unionByName(as_reply)
-    found = by_block.cogroup(again.groupBy("block")).applyInArrow(_emitter(blocks), "bucket int, block int, data binary")
-    marks = found.groupBy("bucket").applyInArrow(_resolve, reply)
-    replies = again.withColumn("decided", F.lit(False)).unionByName(marks.withColumn("decided", F.lit(True)))
+    tree = Tree.over(blocks, 5, digit_bits)
+    rows = all_rows.filter("id IS NOT NULL").select(F.col("id").cast("long").alias("id"), "text", F.md5("text").alias("digest"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "digest"), F.lit(blocks)))
+    copies = _note(_copies(rows), 0)
+    texts = rows.repartition(blocks, "block").groupBy("block")
+    sent = texts.cogroup(copies.groupBy("block")).applyInArrow(_sender(tree), UP)
+    back, _ = totals(tree, sent)
+    known = copies.unionByName(_note(back.select(F.col("grp").alias("block"), "digit", "counts"), 1))
+    found = texts.cogroup(known.groupBy("block")).applyInArrow(_emitter(tree, hot), _FOUND)
+    different = found.groupBy("key", "hash").agg(F.min("low").alias("low"), F.sum("n").alias("n"), F.max("body").alias("body"))
+    group = F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("grp")
+    decided = different.groupBy(group).applyInArrow(_resolver(merge_bytes), _DECIDED)
+    marks = found.select("block", "key", "hash").join(decided.toDF("k", "h", "marks"), (F.col("key") == F.col("k")) & (F.col("hash") == F.col("h")))
+    notes = known.unionByName(_note(marks.select("block", "key", "hash", "marks"), 2))
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    out = by_block.cogroup(replies.groupBy("block")).applyInArrow(_assembler(blocks, to_arrow_type(kind)), f"id {kind.simpleString()}, {fields}")
-    bare = rows.filter("id IS NULL").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    out = texts.cogroup(notes.groupBy("block")).applyInArrow(_assembler(tree, hot, to_arrow_type(kind)), f"id {kind.simpleString()}, {fields}")
+    bare = all_rows.filter("id IS NULL").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
     return out.unionByName(bare).withColumnRenamed("id", id_col)
