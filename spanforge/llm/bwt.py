@@ -14,9 +14,10 @@ of which documents are repeats.  Equal texts are compared once, by their smalles
 Keys that occur very often are cut again by a second key under another hash, so that no group has
 to hold all surroundings of a frequent passage; windows that agree agree in both keys.
 
-Stretches travel with key and content hash and what is found out about them comes back with both;
-a block that gets an answer for a stretch it does not have raises an error.  Stretches depend on
-their own text alone, not on the order of rows or on where a block's buffer is cut.
+A block packs its stretches by group; there are as many groups as blocks, so at worst a row holds
+one stretch.  An answer carries a digest of the stretches that it is about; a block that cannot
+find them again raises an error.  Stretches depend on their own text alone, not on the order of
+rows or on where a block's buffer is cut.
 
 Defined results: a null text is an empty one; texts shorter than LENGTH keep all their bytes; rows
 with the same id never make each other's bytes repeats; rows with a null id keep everything and
@@ -31,6 +32,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,18 +194,19 @@ class Stretches:
         rest = ~often
         return np.append(k[rest], both), np.append(start[rest], where[s]), np.append(n[rest], np.diff(np.append(s, len(where))))
 
-    def find(self, key: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """Numbers of different stretches by key and content hash."""
-        both = self.key ^ mix(self.hash)
-        order = np.argsort(both, kind="stable")
-        at = order[np.minimum(np.searchsorted(both, key ^ mix(h), sorter=order), len(order) - 1)] if len(order) else np.zeros(len(key), np.int64)
-        if len(key) and (not len(order) or (self.key[at] != key).any() or (self.hash[at] != h).any()):
-            raise RuntimeError("an answer came back for a stretch that the block does not have")
-        return at
+    def messages(self, groups: int) -> np.ndarray:
+        """Where the stretches of each group of keys begin; groups are ranges of keys."""
+        bounds = np.array([(i << 64) // groups for i in range(groups)], dtype=U64)
+        return np.append(np.searchsorted(self.key, bounds), len(self.key))
+
+
+def check_sum(key: np.ndarray, h: np.ndarray) -> int:
+    """A digest of the stretches of a message, to tell that an answer is about them."""
+    return int(np.bitwise_xor.reduce(mix(mix(key) + h), initial=U64(len(key))).view(np.int64))
 
 
 # what goes to the tasks of a block beside its texts; kind 0: copies, 1: totals of keys, 2: marks on stretches
-_NOTE = "block long, kind int, id long, digest string, digit int, counts binary, key long, hash long, marks binary"
+_NOTE = "block long, kind int, id long, digest string, digit int, counts binary, grp long, sum long, marks binary"
 
 
 def _kind(notes: pa.Table, kind: int) -> pa.Table:
@@ -225,26 +228,39 @@ def _sender(tree: Tree):
     return send
 
 
-_FOUND = "block long, key long, hash long, low long, n long, body binary"
+_FOUND = "grp long, block long, data binary"
+
+
+def _pack(*parts: bytes) -> bytes:
+    return zstandard.ZstdCompressor(3).compress(b"".join(parts))
 
 
-def _emitter(tree: Tree, hot: int):
+def _emitter(tree: Tree, hot: int, groups: int):
     def emit(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
         own, _ = _own(texts, _kind(notes, 0))
         st = Stretches(own, tree, *_totals_in(notes), hot)
         f = st.first
         size = st.n[f] + LENGTH - 1
-        body = np.ascontiguousarray(st.data[spread(st.start[f], size)])
-        ends = np.append(0, np.cumsum(size)).astype(np.int32)
-        return pa.table({
-            "block": pa.array(np.full(len(f), key[0].as_py(), np.int64)), "key": pa.array(st.key.view(np.int64)), "hash": pa.array(st.hash.view(np.int64)),
-            "low": pa.array(st.id[f]), "n": pa.array(st.count.astype(np.int64)),
-            "body": pa.Array.from_buffers(pa.binary(), len(f), [None, pa.py_buffer(ends), pa.py_buffer(body)]),
-        })
+        body = st.data[spread(st.start[f], size)]
+        ends = np.append(0, np.cumsum(size))
+        low, edge = st.id[f].astype("<i8"), st.messages(groups)
+        rows = np.flatnonzero(edge[:-1] < edge[1:])
+        data = []
+        for a, z in zip(edge[rows].tolist(), edge[rows + 1].tolist(), strict=True):
+            data.append(_pack((z - a).to_bytes(8, "little"), st.key[a:z].tobytes(), st.hash[a:z].tobytes(), low[a:z].tobytes(), st.count[a:z].astype("<u4").tobytes(), size[a:z].astype(np.uint8).tobytes(), body[ends[a] : ends[z]].tobytes()))
+        return pa.table({"grp": pa.array(rows, pa.int64()), "block": pa.array(np.full(len(rows), key[0].as_py(), np.int64)), "data": pa.array(data, pa.binary())})
 
     return emit
 
 
+def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
+    """(key, hash, low, count, size, bytes) of a message."""
+    x = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(x[:8], "little")
+    at = [8 + n * k for k in (0, 8, 16, 24, 28, 29)]
+    return (*(np.frombuffer(x, kind, n, o) for kind, o in zip((U64, U64, "<i8", "<u4", np.uint8), at, strict=False)), np.frombuffer(x, np.uint8, offset=at[5]))
+
+
 # --- transforms and their merge -------------------------------------------------------------
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Suffixes of a shard in order; 0 ends each string, and of equal rests that of the earlier string comes first."""
@@ -339,64 +355,79 @@ def lowest(size: np.ndarray, flat: np.ndarray, low: np.ndarray, shard_bytes: int
     return by_place[spread(at, size - LENGTH + 1)]
 
 
-_DECIDED = "key long, hash long, marks binary"
-#: One run of windows of a stretch and the smallest document that has them.
-MARK = np.dtype([("first", "u1"), ("last", "u1"), ("low", "<i8")])
+_DECIDED = "block long, grp long, sum long, marks binary"
+#: A run of windows of a stretch (by its number in the message) and the smallest document that has them.
+MARK = np.dtype([("of", "<u4"), ("first", "u1"), ("last", "u1"), ("low", "<i8")])
 
 
 def _resolver(merge_bytes: int):
     def resolve(group: tuple, table: pa.Table) -> pa.Table:
-        """Marks on the different stretches of some keys, those that any occurrence can need."""
-        table = table.take(pc.sort_indices(table, [("key", "ascending"), ("hash", "ascending")]))
-        key, h, low, count = (table.column(c).to_numpy() for c in ("key", "hash", "low", "n"))
-        flat, ends = raw(table.column("body").combine_chunks())
-        begin, size = ends[:-1], np.diff(ends)
-        other = np.ones(len(key), bool)
+        """For the stretches of each message, the marks that they need."""
+        parts = [_unpack(d) for d in table.column("data").to_pylist()]
+        k, h, low, count, size, flat = (np.concatenate([p[i] for p in parts]) for i in range(6))
+        size = size.astype(np.int64)
+        begin = np.cumsum(size) - size
+        order = np.lexsort((h, k))
+        new = np.ones(len(order), bool)
+        new[1:] = (k[order][1:] != k[order][:-1]) | (h[order][1:] != h[order][:-1])
+        of = np.empty(len(order), np.int64)
+        of[order] = np.cumsum(new) - 1
+        least = np.minimum.reduceat(low[order], np.flatnonzero(new))
+        one = order[new]  # an entry for each different stretch
+        key, size, begin = k[one], size[one], begin[one]
+        other = np.ones(len(one), bool)
         other[1:] = key[1:] != key[:-1]
         key_no = np.cumsum(other) - 1
         todo = np.flatnonzero(np.bincount(key_no)[key_no] > 1)
         n = size - LENGTH + 1
-        value = np.repeat(low, n)  # smallest document of each window of each stretch
+        value = np.repeat(least, n)  # smallest document of each window of each stretch
         at = np.cumsum(n) - n
-        a = 0
-        until = np.cumsum(size[todo])
+        a, until = 0, np.cumsum(size[todo])
         while a < len(todo):  # keys are independent: a few at a time
             b = max(a + 1, int(np.searchsorted(until, (until[a - 1] if a else 0) + merge_bytes, "right")))
             b = int(np.searchsorted(key_no[todo], key_no[todo[b - 1]], "right"))
             u = todo[a:b]
-            value[spread(at[u], n[u])] = lowest(size[u], flat[spread(begin[u], size[u])], low[u])
+            value[spread(at[u], n[u])] = lowest(size[u], flat[spread(begin[u], size[u])], least[u])
             a = b
         edge = np.zeros(len(value), bool)
         edge[at] = True
         edge[1:] |= value[1:] != value[:-1]
         run = np.flatnonzero(edge)
-        of = np.searchsorted(at, run, "right") - 1
-        mark = np.empty(len(run), MARK)
-        mark["first"] = run - at[of]
-        mark["last"] = np.append(run[1:], len(value)) - 1 - at[of]
-        mark["low"] = value[run]
-        useful = (value[run] < low[of]) | (count[of] > 1)
-        mark, of = mark[useful], of[useful]
-        which, number = np.unique(of, return_counts=True)
-        return pa.table({
-            "key": pa.array(key[which]), "hash": pa.array(h[which]),
-            "marks": pa.Array.from_buffers(pa.binary(), len(which), [None, pa.py_buffer(np.append(0, np.cumsum(number) * MARK.itemsize).astype(np.int32)), pa.py_buffer(mark.tobytes())]),
-        })
+        run_of = np.searchsorted(at, run, "right") - 1
+        first, last = run - at[run_of], np.append(run[1:], len(value)) - 1 - at[run_of]
+        from_, runs_ = np.searchsorted(run_of, np.arange(len(one))), np.bincount(run_of, minlength=len(one))
+        out, sums, e = [], [], 0
+        for p in parts:
+            mine = of[e : e + len(p[0])]
+            e += len(p[0])
+            r = spread(from_[mine], runs_[mine])
+            who = np.repeat(np.arange(len(mine)), runs_[mine])
+            useful = (value[run[r]] < p[2][who]) | (p[3][who] > 1)
+            r, who = r[useful], who[useful]
+            mark = np.empty(len(r), MARK)
+            mark["of"], mark["first"], mark["last"], mark["low"] = who, first[r], last[r], value[run[r]]
+            out.append(_pack(mark.tobytes()))
+            sums.append(check_sum(p[0], p[1]))
+        return pa.table({"block": table.column("block"), "grp": table.column("grp"), "sum": pa.array(sums, pa.int64()), "marks": pa.array(out, pa.binary())})
 
     return resolve
 
 
-def _assembler(tree: Tree, hot: int, id_type: pa.DataType):
+def _assembler(tree: Tree, hot: int, groups: int, id_type: pa.DataType):
     def build(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
         table, rest = _own(texts, _kind(notes, 0))
         st = Stretches(table, tree, *_totals_in(notes), hot)
         decided = _kind(notes, 2)
+        message = st.messages(groups)
+        if decided.num_rows != np.count_nonzero(message[:-1] < message[1:]):
+            raise RuntimeError("a block's messages and the answers to them differ in number")
         edge = np.zeros(len(st.data) + 1, np.int32)
-        if decided.num_rows:
-            e = st.find(decided.column("key").to_numpy().view(U64), decided.column("hash").to_numpy().view(U64))
-            body, ends = raw(decided.column("marks").combine_chunks())
-            mark = np.frombuffer(body.tobytes(), MARK)
-            e = np.repeat(e, np.diff(ends) // MARK.itemsize)
+        for grp, total, marks in zip(*(decided.column(c).to_pylist() for c in ("grp", "sum", "marks")), strict=True):
+            a, z = message[grp], message[grp + 1]
+            if check_sum(st.key[a:z], st.hash[a:z]) != total:
+                raise RuntimeError("an answer came back for stretches that the block does not have")
+            mark = np.frombuffer(zstandard.ZstdDecompressor().decompress(marks), MARK)
+            e = mark["of"].astype(np.int64) + a
             m = st.count[e]
             occ = spread(st.first[e], m)
             r = np.repeat(np.arange(len(e)), m)
@@ -467,13 +498,10 @@ def dedup(
     sent = texts.cogroup(copies.groupBy("block")).applyInArrow(_sender(tree), UP)
     back, _ = totals(tree, sent)
     known = copies.unionByName(_note(back.select(F.col("grp").alias("block"), "digit", "counts"), 1))
-    found = texts.cogroup(known.groupBy("block")).applyInArrow(_emitter(tree, hot), _FOUND)
-    different = found.groupBy("key", "hash").agg(F.min("low").alias("low"), F.sum("n").alias("n"), F.max("body").alias("body"))
-    group = F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("grp")
-    decided = different.groupBy(group).applyInArrow(_resolver(merge_bytes), _DECIDED)
-    marks = found.select("block", "key", "hash").join(decided.toDF("k", "h", "marks"), (F.col("key") == F.col("k")) & (F.col("hash") == F.col("h")))
-    notes = known.unionByName(_note(marks.select("block", "key", "hash", "marks"), 2))
+    found = texts.cogroup(known.groupBy("block")).applyInArrow(_emitter(tree, hot, blocks), _FOUND)
+    decided = found.groupBy("grp").applyInArrow(_resolver(merge_bytes), _DECIDED)
+    notes = known.unionByName(_note(decided, 2))
     fields = "n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    out = texts.cogroup(notes.groupBy("block")).applyInArrow(_assembler(tree, hot, to_arrow_type(kind)), f"id {kind.simpleString()}, {fields}")
+    out = texts.cogroup(notes.groupBy("block")).applyInArrow(_assembler(tree, hot, blocks, to_arrow_type(kind)), f"id {kind.simpleString()}, {fields}")
     bare = all_rows.filter("id IS NULL").select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
     return out.unionByName(bare).withColumnRenamed("id", id_col)

@@ -100,12 +100,19 @@ def test_runs_do_not_depend_on_where_a_buffer_is_cut():
 
 def test_answers_for_unknown_stretches_raise():
     tree = Tree.over(1, 5)
-    table = pa.table({"id": pa.array([], pa.int64()), "digest": pa.array([], pa.string()), "text": pa.array([], pa.string())})
-    st = bwt.Stretches(table, tree, [], [])
-    with pytest.raises(RuntimeError):
-        st.find(np.array([1], np.uint64), np.array([1], np.uint64))
     with pytest.raises(RuntimeError):
         tree.block_totals(np.array([1 << 30], np.uint64), [], [])
+    texts = pa.table({"id": pa.array([1], pa.int64()), "digest": ["d"], "text": ["ab" * 90]})
+    none = {"id": pa.int64(), "digest": pa.string(), "digit": pa.int32(), "counts": pa.binary(), "grp": pa.int64(), "sum": pa.int64(), "marks": pa.binary()}
+    k, _, _ = bwt.runs(*raw(texts.column("text").combine_chunks()))
+    sent = tree.block_rows(0, *np.unique(tree.whole(k), return_counts=True))
+    note = lambda kind, **v: {c: v.get(c) for c in none} | {"kind": kind}
+    back = [note(1, digit=p, counts=c) for p, c in zip(sent.column("path").to_pylist(), sent.column("counts").to_pylist())]
+    schema = pa.schema([*none.items(), ("kind", pa.int32())])
+    build = bwt._assembler(tree, 1 << 14, 1, pa.int64())
+    for more in ([], [note(2, grp=0, sum=5, marks=bwt._pack())]):
+        with pytest.raises(RuntimeError):
+            build((pa.scalar(0),), texts, pa.Table.from_pylist(back + more, schema))
 
 
 def test_other_ids_are_refused(spark):
