@@ -1,17 +1,18 @@
 """Byte-level BPE encoding and decoding with recursive DuckDB queries inside each partition.
 
-Every distinct pre-token ("word") of a partition becomes one state of a recursive query: its
-tokens are unnested into token-position rows, joined with the merge table, and the leftmost pair
-of minimum rank is contracted, round after round, until no pair can be merged.  Decoding joins
+Every distinct pre-token ("word") of a slice of a partition becomes one state of a recursive query:
+its tokens are unnested into token-position rows, joined with the merge table, and the leftmost
+pair of minimum rank is contracted, round after round, until no pair can be merged.  Decoding joins
 token rows with the vocabulary and concatenates them by an ordered aggregation.  Words recur, so
-results are kept in a two-generation cache of bounded size per Python worker; the cache only saves
-work.  Nothing is shuffled, a partition needs memory for a slice of texts, and a lost task is
-simply run again.
+what the queries give is kept by word in a cache of two generations, each bounded in bytes; the
+cache only saves work.  Nothing is shuffled, a partition needs memory for a slice of texts and for
+a stretch of a long text, and a lost task is simply run again.
 
 Defined results: a null text is an empty one, an empty text has no ids (``n_tokens`` 0, the digest
-of the empty string); rows are treated one by one, so ties, repeated rows and extra columns do not
-matter.  Words of more than ``LONG_WORD`` bytes take the same contractions from a heap, as the
-rounds of a query would take quadratic time there.
+of the empty string); rows are treated one by one, so ties, repeated rows and null ids do not
+matter, and an empty table gives an empty result.  A column of ``docs`` that has the name of an
+output column is replaced by it.  Words of more than ``LONG_WORD`` bytes take the same contractions
+from a heap, as the rounds of a query would take quadratic time there.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ import base64
 import ctypes
 import hashlib
 import heapq
-import re
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,30 +29,37 @@ from pyspark.sql import DataFrame
 
 #: Bytes of a word from which contraction leaves the recursive query.
 LONG_WORD = 1000
-#: Words a worker keeps in each of its two cache generations.
-CACHE_WORDS = 200_000
+#: Bytes a worker keeps in each of its two cache generations, about.
+CACHE_BYTES = 128 << 20
 #: Bytes of words in one recursive query.
 QUERY_BYTES = 1 << 19
+#: Bytes of text in a slice, and characters of a long text that are worked on at a time.
+SLICE_BYTES = 2 << 20
+STRETCH = 1 << 18
 #: Largest rank file that is sent to the workers.
 MAX_RANK_FILE = 64 << 20
+#: What a cached word takes beside its own bytes and those of its values.
+_ENTRY = 330
 
 _ENCODE = """
+CREATE OR REPLACE TEMP TABLE encoded AS
 WITH RECURSIVE state(w, ts) AS (
     SELECT w, ts FROM symbols
   UNION ALL
-    SELECT w, ts[1:(hit - 1)] || [merged] || ts[(hit + 2):]
-    FROM (SELECT w, any_value(ts) AS ts, (min(k) & 16777215)::INT AS hit, (min(k) >> 24)::INT AS merged
-          FROM (SELECT s.w, s.ts, (m.merged::BIGINT << 24) | s.p AS k
-                FROM (SELECT w, ts, generate_subscripts(ts, 1) AS p FROM state) s
-                JOIN merges m ON m.a = s.ts[s.p] AND m.b = s.ts[s.p + 1])
-          GROUP BY w)
+    SELECT s.w, s.ts[1:(h.k & 16777215) - 1] || [(h.k >> 24)::INT] || s.ts[(h.k & 16777215) + 2:]
+    FROM state s
+    JOIN (SELECT r.w, min((m.merged::BIGINT << 24) | r.p) AS k
+          FROM (SELECT w, unnest(range(1, len(ts))) AS p, (unnest(ts[:-2])::BIGINT << 32) | unnest(ts[2:]) AS pair FROM state) r
+          JOIN merges m ON m.pair = r.pair
+          GROUP BY r.w) h ON h.w = s.w
 )
-SELECT w, arg_min(ts, len(ts)) AS ids FROM state GROUP BY w ORDER BY w
-"""
-_DECODE = """
-SELECT r.w, string_agg(v.piece, '' ORDER BY r.p) AS piece
-FROM rows_in r JOIN vocabulary v ON v.id = r.id GROUP BY r.w ORDER BY r.w
+SELECT w, arg_min(ts, len(ts)) AS ids FROM state GROUP BY w
 """
+_SHOWN = "SELECT array_to_string(ids, ',') AS shown FROM encoded ORDER BY w"
+#: Rows of all words at once; the row -1 behind each word is a mark, which no decoded byte equals.
+_DECODE = "SELECT string_agg(v.piece, '' ORDER BY r.w, r.p) FROM {rows} r JOIN vocabulary v ON v.id = r.id"
+_ENCODED_ROWS = "(SELECT w, unnest(ids || [-1]) AS id, generate_subscripts(ids || [-1], 1) AS p FROM encoded)"
+_MARK = "\u0100"
 
 
 def read_ranks(path: str) -> bytes:
@@ -67,20 +73,20 @@ def read_ranks(path: str) -> bytes:
 
 #: glibc keeps freed blocks unless told otherwise; other libraries lack the call.
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
-_PACK = struct.Struct("=i").pack
 
 
 class Codec:
     """One DuckDB connection with the merge table and the vocabulary of a rank file."""
 
-    def __init__(self, data: bytes, pattern: str, cache_words: int = CACHE_WORDS):
+    def __init__(self, data: bytes, pattern: str, cache_bytes: int = CACHE_BYTES):
         import duckdb
         import regex
 
-        self.cache_words = cache_words
+        self.cache_bytes = cache_bytes
         self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
+        self.last = max(self.ranks.values())
         pairs = [
-            (left, right, rank)
+            (left << 32 | right, rank)
             for token, rank in self.ranks.items()
             for cut in range(1, len(token))
             if (left := self.ranks.get(token[:cut])) is not None and (right := self.ranks.get(token[cut:])) is not None
@@ -88,16 +94,17 @@ class Codec:
         self.piece = {r: t for t, r in self.ranks.items()}
         self.byte = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.find = regex.compile(pattern).findall
+        self.cut = regex.compile(r"(?<=\S)(?= \S)").search
         self.con = duckdb.connect(config={"threads": 1, "memory_limit": "350MB"})
-        a, b, m = zip(*pairs, strict=True) if pairs else ((), (), ())
-        self.con.register("pairs_in", pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "merged": pa.array(m, pa.int32())}))
+        pair, m = zip(*pairs, strict=True) if pairs else ((), ())
+        self.con.register("pairs_in", pa.table({"pair": pa.array(pair, pa.int64()), "merged": pa.array(m, pa.int32())}))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM pairs_in")
-        ids = list(self.ranks.values())
-        self.con.register("voc_in", pa.table({"id": pa.array(ids, pa.int32()), "piece": pa.array([t.decode("latin-1") for t in self.ranks])}))
+        pieces = [*(t.decode("latin-1") for t in self.ranks), _MARK]
+        self.con.register("voc_in", pa.table({"id": pa.array([*self.ranks.values(), -1], pa.int32()), "piece": pa.array(pieces)}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM voc_in")
-        # packed to single byte strings: a word's ids as 32-bit numbers; a stretch's ids as text, a zero, its bytes
-        self.words: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
-        self.chunks: tuple[dict[str, bytes], dict[str, bytes]] = ({}, {})
+        # by word: its ids in decimals joined by commas, the bytes decoded from them
+        self.words: tuple[dict[str, tuple[bytes, bytes]], dict[str, tuple[bytes, bytes]]] = ({}, {})
+        self.size = 0
 
     def _merge(self, a: int, b: int) -> int | None:
         return self.ranks.get(self.piece[a] + self.piece[b])
@@ -125,97 +132,93 @@ class Codec:
                 heapq.heappush(heap, (x, h, ids[h], m))
         return [x for x in ids if x >= 0]
 
-    def _query(self, words: list[bytes]) -> list[list[int]]:
-        return [np.frombuffer(x, np.int32).tolist() for x in self._packed(words)]
-
-    def _packed(self, words: list[bytes]) -> list[bytes]:
-        """The packed ids of each word."""
+    def _query(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
+        """What the recursive query and the ordered aggregation give for each word."""
+        whole = [i for i, w in enumerate(words) if w in self.ranks]  # tokens as they are
+        long_ = [i for i, w in enumerate(words) if len(w) > LONG_WORD and w not in self.ranks]
+        apart = {i: [self.ranks[words[i]]] for i in whole} | {i: self._long(words[i]) for i in long_}
+        plain = [i for i in range(len(words)) if i not in apart]
+        order = [*apart, *plain]
+        lens = [len(x) for x in apart.values()] + [len(words[i]) for i in plain]
+        flat = np.concatenate([np.array([x for a in apart.values() for x in a], np.int32), self.byte[np.frombuffer(b"".join([words[i] for i in plain]), np.uint8)]])
         ends = np.zeros(len(words) + 1, np.int32)
-        np.cumsum(np.fromiter(map(len, words), np.int32, len(words)), out=ends[1:])
-        symbols = pa.ListArray.from_arrays(ends, self.byte[np.frombuffer(b"".join(words), np.uint8)])
-        self.con.register("symbols", pa.table({"w": np.arange(len(words), dtype=np.int32), "ts": symbols}))
-        got = self.con.execute(_ENCODE).to_arrow_table().column("ids").combine_chunks()
+        np.cumsum(lens, out=ends[1:])
+        self.con.register("symbols", pa.table({"w": pa.array(order, pa.int32()), "ts": pa.ListArray.from_arrays(ends, flat)}))
+        self.con.execute(_ENCODE)
         self.con.unregister("symbols")
-        flat = got.values.to_numpy(zero_copy_only=False).astype(np.int32, copy=False).tobytes()
-        at = (got.offsets.to_numpy().astype(np.int64) * 4).tolist()
-        return [flat[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        shown = self.con.sql(_SHOWN).to_arrow_table().column(0).cast(pa.binary()).to_pylist()
+        return list(zip(shown, self._pieces(_ENCODED_ROWS), strict=True))
 
-    def encode_words(self, words: list[str]) -> None:
-        """Put the ids of words that are not cached into the cache."""
+    def _pieces(self, rows: str) -> list[bytes]:
+        """The bytes that each word of the rows decodes to, in order of the words."""
+        whole = self.con.execute(_DECODE.format(rows=rows)).fetchall()[0][0] or ""
+        return [p.encode("latin-1") for p in whole.split(_MARK)[:-1]]
+
+    def encode_words(self, words: set[str]) -> dict[str, tuple[bytes, bytes]]:
+        """The cache, with all of ``words`` in it."""
         new, old = self.words
-        todo: list[tuple[str, bytes]] = []
-        for word in words:
-            if word in new:
-                continue
-            if word in old:
-                new[word] = old[word]
-                continue
-            data = word.encode()
-            if (rank := self.ranks.get(data)) is not None:
-                new[word] = _PACK(rank)
-            elif len(data) > LONG_WORD:
-                new[word] = np.array(self._long(data), np.int32).tobytes()
+        todo: list[str] = []
+        for word in words.difference(new):
+            if (got := old.get(word)) is not None:
+                new[word] = got
+                self.size += len(word) + len(got[0]) + len(got[1]) + _ENTRY
             else:
-                todo.append((word, data))
+                todo.append(word)
         at = 0
+        data = [w.encode() for w in todo]
         while at < len(todo):
             to, total = at, 0
-            while to < len(todo) and (to == at or total + len(todo[to][1]) <= QUERY_BYTES):
-                total += len(todo[to][1])
+            while to < len(todo) and (to == at or total + len(data[to]) <= QUERY_BYTES):
+                total += len(data[to])
                 to += 1
-            for (word, _), ids in zip(todo[at:to], self._packed([d for _, d in todo[at:to]]), strict=True):
-                new[word] = ids
+            for word, got in zip(todo[at:to], self._query(data[at:to]), strict=True):
+                new[word] = got
+                self.size += len(word) + len(got[0]) + len(got[1]) + _ENTRY
             at = to
+        return new
 
     def decode(self, rows: list[list[int]]) -> list[bytes]:
         """Bytes of each row of ids; an id outside the vocabulary raises ``ValueError``."""
-        lens = np.fromiter(map(len, rows), np.int64, len(rows))
-        return self._decode(np.fromiter((x for r in rows for x in r), np.int64, int(lens.sum())), lens)
-
-    def _decode(self, ids: np.ndarray, lens: np.ndarray) -> list[bytes]:
-        """Bytes of rows of ids laid end to end."""
-        out = [b""] * len(lens)
-        if not len(ids):
-            return out
-        if ids.min() < 0 or ids.max() > max(self.ranks.values()):
+        lens = np.fromiter(map(len, rows), np.int64, len(rows)) + 1
+        ids = np.fromiter((x for r in rows for x in (*r, -1)), np.int64, int(lens.sum()))
+        last = np.cumsum(lens) - 1
+        inner = np.delete(ids, last)
+        if len(inner) and (inner.min() < 0 or inner.max() > self.last):
             raise ValueError("an id is not in the vocabulary")
-        at = np.repeat(np.cumsum(lens) - lens, lens)
-        self.con.register("rows_in", pa.table({"w": np.repeat(np.arange(len(lens), dtype=np.int32), lens), "p": (np.arange(len(ids)) - at).astype(np.int32), "id": ids.astype(np.int32)}))
-        for w, piece in self.con.execute(_DECODE).fetchall():
-            out[w] = piece.encode("latin-1")
+        self.con.register("rows_in", pa.table({"w": np.repeat(np.arange(len(lens), dtype=np.int32), lens), "p": np.arange(len(ids), dtype=np.int32), "id": ids.astype(np.int32)}))
+        out = self._pieces("rows_in")
         self.con.unregister("rows_in")
         return out
 
-    def encode_chunks(self, chunks: list[str]) -> None:
-        """Cache the ids and the decoded bytes of stretches of text that pre-tokenise on their own."""
-        new, old = self.chunks
-        todo = []
-        for c in chunks:
-            if c not in new:
-                if c in old:
-                    new[c] = old[c]
-                else:
-                    todo.append(c)
-        if not todo:
-            return
-        split = [self.find(c) for c in todo]
-        words = list({w for s in split for w in s})
-        self.encode_words(words)
-        known = self.words[0]
-        packed = [b"".join([known[w] for w in s]) for s in split]
-        ids = np.frombuffer(b"".join(packed), np.int32)
-        lens = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        shown = list(map(str, ids.tolist()))
-        end = np.cumsum(lens)
-        for c, i, j, b in zip(todo, (end - lens).tolist(), end.tolist(), self._decode(ids, lens), strict=True):
-            new[c] = b"%b\0%b" % (",".join(shown[i:j]).encode(), b)
+    def stretches(self, text: str) -> Iterator[str]:
+        """Parts of a text that pre-tokenise on their own, cut before a lone space about every STRETCH characters.
+
+        The pattern never continues a match from a non-space character into white space, and a
+        space between two such characters joins only what follows it, so such a cut is one between matches.
+        """
+        at = 0
+        while len(text) - at > STRETCH and (m := self.cut(text, at + STRETCH)) is not None:
+            yield text[at : m.start()]
+            at = m.start()
+        yield text[at:] if at else text
+
+    def texts(self, texts: list[str]) -> Iterator[Iterator[list[tuple[bytes, bytes]]]]:
+        """For each text its stretches, each as the values of its words in order."""
+        short = [self.find(t) if len(t) <= STRETCH else None for t in texts]
+        known = self.encode_words({w for s in short if s is not None for w in s})
+        for t, s in zip(texts, short, strict=True):
+            yield iter([[known[w] for w in s]]) if s is not None else self._long_text(t)
+
+    def _long_text(self, text: str) -> Iterator[list[tuple[bytes, bytes]]]:
+        for part in self.stretches(text):
+            words = self.find(part)
+            known = self.encode_words(set(words))
+            yield [known[w] for w in words]
 
     def rest(self) -> None:
-        """Age the caches and give free memory back to the system; to be called between slices."""
-        if len(self.words[0]) > self.cache_words:
-            self.words = ({}, self.words[0])
-        if len(self.chunks[0]) > self.cache_words:
-            self.chunks = ({}, self.chunks[0])
+        """Age the cache and give free memory back to the system; to be called between slices."""
+        if self.size > self.cache_bytes:
+            self.words, self.size = ({}, self.words[0]), 0
         pa.default_memory_pool().release_unused()
         if _TRIM is not None:
             _TRIM(0)
@@ -224,64 +227,49 @@ class Codec:
 _codecs: dict[tuple[str, str, int], Codec] = {}
 
 
-def _codec(data: bytes, pattern: str, cache_words: int = CACHE_WORDS) -> Codec:
-    key = (hashlib.sha256(data).hexdigest(), pattern, cache_words)
+def _codec(data: bytes, pattern: str, cache_bytes: int = CACHE_BYTES) -> Codec:
+    key = (hashlib.sha256(data).hexdigest(), pattern, cache_bytes)
     if key not in _codecs:
         _codecs.clear()
-        _codecs[key] = Codec(data, pattern, cache_words)
+        _codecs[key] = Codec(data, pattern, cache_bytes)
     return _codecs[key]
 
 
-_TWO_SPACES = re.compile(r"\s\s")
-
-
-def pieces(text: str) -> list[str]:
-    """Stretches that pre-tokenise independently: cut before each space, unless white space is adjacent.
-
-    The pattern never continues a match from a non-space character into white space, and a lone
-    space joins only what follows it, so such cuts are cuts between matches.  A text with adjacent
-    white space stays whole.
-    """
-    if not text:
-        return []
-    if _TWO_SPACES.search(text):
-        return [text]
-    first, *rest = text.split(" ")
-    return ([first] if first else []) + [" " + x for x in rest]
-
-
-def _texts(batch: pa.RecordBatch, text: str) -> list[str]:
-    from .textnp import column
-
-    return column(batch, text).to_pylist()
+def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    from .textnp import column, slices
 
+    for batch in slices(batches, text, SLICE_BYTES):
+        yield batch, column(batch, text).to_pylist()
 
-def _slices(batches: Iterator[pa.RecordBatch], text: str, size: int) -> Iterator[pa.RecordBatch]:
-    from .textnp import slices
 
-    return slices(batches, text, size)
+def _keep(batch: pa.RecordBatch, out_col: str) -> tuple[list[pa.Array], list[str]]:
+    at = [i for i, name in enumerate(batch.schema.names) if name != out_col]
+    return [batch.column(i) for i in at], [batch.schema.names[i] for i in at]
 
 
-def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_words: int = CACHE_WORDS) -> DataFrame:
+def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", cache_bytes: int = CACHE_BYTES) -> DataFrame:
     """Per row: id, ``n_tokens``, ``ids_sha256`` (ids joined by commas), ``decoded_sha256`` (bytes decoded from the ids).
 
-    ``cache_words`` bounds a generation of a worker's caches: fewer words take less memory and more time.
+    ``cache_bytes`` bounds a generation of a worker's cache: fewer bytes take less memory and more time.
     """
     data = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_file))  # at most MAX_RANK_FILE bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data.value, pattern, cache_words)
-        for batch in _slices(batches, "text", 10 * cache_words):
-            split = [pieces(t) for t in _texts(batch, "text")]
-            codec.encode_chunks(list({p for s in split for p in s}))
-            known = codec.chunks[0]
+        codec = _codec(data.value, pattern, cache_bytes)
+        for batch, texts in _slices(batches, "text"):
             n, ids_hex, out_hex = [], [], []
-            for s in split:
-                got = [known[p].partition(b"\0") for p in s]
-                ids = b",".join([g[0] for g in got])
-                n.append(ids.count(b",") + 1 if ids else 0)
-                ids_hex.append(hashlib.sha256(ids).hexdigest())
-                out_hex.append(hashlib.sha256(b"".join([g[2] for g in got])).hexdigest())
+            for parts in codec.texts(texts):
+                count, ids_sha, out_sha = 0, hashlib.sha256(), hashlib.sha256()
+                for values in parts:
+                    if values:
+                        shown, pieces = zip(*values, strict=True)
+                        ids = b",".join(shown)
+                        ids_sha.update(b"," + ids if count else ids)
+                        out_sha.update(b"".join(pieces))
+                        count += ids.count(b",") + 1
+                n.append(count)
+                ids_hex.append(ids_sha.hexdigest())
+                out_hex.append(out_sha.hexdigest())
             codec.rest()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(out_hex)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -297,14 +285,16 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data.value, pattern)
-        for batch in _slices(batches, text_col, 10 * CACHE_WORDS):
-            split = [pieces(t) for t in _texts(batch, text_col)]
-            codec.encode_chunks(list({p for s in split for p in s}))
-            known = codec.chunks[0]
-            ids = [[int(x) for p in s for x in known[p].partition(b"\0")[0].split(b",")] for s in split]
+        for batch, texts in _slices(batches, text_col):
+            ids, ends = [], [0]
+            for parts in codec.texts(texts):
+                got = b",".join([v[0] for values in parts for v in values])
+                ids.append(np.array(got.split(b",") if got else [], np.int32))
+                ends.append(ends[-1] + len(ids[-1]))
             codec.rest()
-            keep = [i for i, name in enumerate(batch.schema.names) if name != out_col]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(ids, pa.list_(pa.int32()))], [*(batch.schema.names[i] for i in keep), out_col])
+            columns, names = _keep(batch, out_col)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
+            yield pa.RecordBatch.from_arrays([*columns, lists], [*names, out_col])
 
     return docs.mapInArrow(run, schema)
 
@@ -320,7 +310,7 @@ def decode(docs: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids",
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
                 rows = [r or [] for r in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
-                keep = [i for i, name in enumerate(batch.schema.names) if name != out_col]
-                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(codec.decode(rows), pa.binary())], [*(batch.schema.names[i] for i in keep), out_col])
+                columns, names = _keep(batch, out_col)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(codec.decode(rows), pa.binary())], [*names, out_col])
 
     return docs.mapInArrow(run, schema)
