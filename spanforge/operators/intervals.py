@@ -101,17 +101,16 @@ def redact(docs: DataFrame, mask: DataFrame, id_col: str = "doc_id", text_col: s
     return joined.select(id_col, F.when(F.col("m").isNull(), t).otherwise(F.concat(F.array_join(body, ""), tail)).alias("redacted"))
 
 
-def segments(spans: DataFrame, lengths: DataFrame, keys: list[str], who: str) -> DataFrame:
+def segments(spans: DataFrame, lengths: DataFrame, keys: list[str], who: str, people: list[str]) -> DataFrame:
     """Elementary segments of each document with, for each annotator, the label that covers them (O for none).
 
-    ``lengths`` has (keys, n).  Of several labels the longest wins, of equal ones the later.
+    ``lengths`` has (keys, n), ``people`` are the values of ``who``.  Of several labels the longest wins, of equal ones the later.
     """
     edges = spans.select(*keys, F.col("start").alias("at")).unionByName(spans.select(*keys, F.col("end").alias("at")))
     edges = edges.unionByName(lengths.select(*keys, F.lit(0).alias("at"))).unionByName(lengths.select(*keys, F.col("n").alias("at"))).distinct()
     w = W.partitionBy(*keys).orderBy("at")
     seg = edges.withColumn("to", F.lead("at").over(w)).filter("to IS NOT NULL").withColumnRenamed("at", "from")
-    people = spans.select(who).distinct()
-    grid = seg.join(F.broadcast(people))  # annotators are a handful
+    grid = seg.withColumn(who, F.explode(F.array(*[F.lit(x) for x in people])))
     a, b = grid.alias("g"), spans.alias("s")
     cond = on_keys("g", "s", keys) & (F.col(f"g.{who}") == F.col(f"s.{who}")) & (F.col("s.start") <= F.col("g.from")) & (F.col("s.end") >= F.col("g.to"))
     best = F.max_by("s.label", F.struct(F.col("s.end") - F.col("s.start"), F.col("s.layer_rank"), F.col("s.seq")))

@@ -16,9 +16,7 @@ def coverage(gold: DataFrame, mask: DataFrame, combos: list[str], predicate: str
     Precision asks for overlap whatever ``predicate`` is, unless that is ``exact``.  With ``typed``
     a match also needs the gold's type among the labels that contributed to the mask.
     """
-    spark = gold.sparkSession
-    names = F.broadcast(spark.createDataFrame([(c,) for c in combos], "combo string"))
-    g = gold.select("doc_id", "start", "end", "canon", "seq", "detector").join(names)
+    g = gold.select("doc_id", "start", "end", "canon", "seq", "detector", F.explode(F.array(*[F.lit(c) for c in combos])).alias("combo"))
     same = F.array_contains(F.col("r.canons"), F.col("l.canon")) if typed else None
     hit = I.semi(g, mask, ["combo", "doc_id"], predicate, same).groupBy("combo", "canon").agg(F.count(F.lit(1)).alias("c"))
     every = g.groupBy("combo", "canon").agg(F.count(F.lit(1)).alias("support"))
@@ -71,20 +69,29 @@ def confusion(counts: DataFrame) -> DataFrame:
     return x.withColumns({"f1": L.f_beta(F.col("p"), F.col("r"), 1), "majority": F.greatest("base_rate", 1 - F.col("base_rate"))})
 
 
-def area(x: DataFrame) -> DataFrame:
-    """(n_pos, n_neg, auc) from ``w``, twice the wins of positives over negatives with ties as half, and the two counts."""
-    return x.select("n_pos", "n_neg", F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), 0.5).otherwise(F.col("w") / (2.0 * F.col("n_pos") * F.col("n_neg"))).alias("auc"))
+def area(x: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n_pos, n_neg, auc) from ``w``, twice the wins of positives over negatives with ties as half, and the two counts."""
+    return x.select(*keys, "n_pos", "n_neg", F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), 0.5).otherwise(F.col("w") / (2.0 * F.col("n_pos") * F.col("n_neg"))).alias("auc"))
+
+
+#: Ranges of scores that are summed apart.
+_RANGES = 64
 
 
 def auc(scored: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve by mid-ranks; ties count half, one class alone gives 0.5.
 
-    Equal scores are summed first, so the window runs over distinct scores.
+    Equal scores are summed first.  Distinct scores are dealt into ranges by their quantiles, so that the
+    running sum of a range is one task's work and only the sums of the ranges are added in one place.
     """
-    by = scored.groupBy(score).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(W.orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    x = by.withColumn("wins2", F.col("pos") * (2 * below + F.col("neg"))).agg(F.sum("wins2").alias("w"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return area(x)
+    by = scored.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
+    cuts = by.agg(F.percentile_approx(score, [i / _RANGES for i in range(1, _RANGES)], 10_000).alias("cuts"))
+    x = by.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(score)))).drop("cuts")  # one row
+    before = x.groupBy("range").agg(F.sum("neg").alias("n"))
+    before = before.select("range", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # _RANGES rows
+    inside = F.coalesce(F.sum("neg").over(W.partitionBy("range").orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("below", inside).join(F.broadcast(before), "range").withColumn("wins2", F.col("pos") * (2 * (F.col("below") + F.col("before")) + F.col("neg")))
+    return area(x.agg(F.coalesce(F.sum("wins2"), F.lit(0)).alias("w"), F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg")))
 
 
 def kappa(table: DataFrame, a: str, b: str, weight: str) -> DataFrame:

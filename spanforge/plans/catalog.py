@@ -13,6 +13,8 @@ from ..functions import labels as L
 from ..functions import spans as S
 from ..operators import intervals as I
 from ..operators import scoring as Q
+from ..operators import sequential as E
+from ..sources.stage import stage
 from . import relations as R
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +35,17 @@ def query(f: Query) -> Query:
     return run
 
 
+def staged(f: Query) -> Query:
+    """A query that uses spans several times: they are found once and written out."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with R.sharing():
+            return f(spark, sf_dir)
+
+    run.__name__, run.__doc__ = f.__name__, f.__doc__
+    return query(run)
+
+
 def queries() -> dict[str, Query]:
     return dict(_ALL)
 
@@ -40,13 +53,13 @@ def queries() -> dict[str, Query]:
 # --- detectors ------------------------------------------------------------------------------
 def _detector(name: str) -> None:
     def f(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return S.spans(R.documents(spark, sf_dir), [S.DETECTORS[name]]).select("doc_id", "seq", "start", "end", "label", "value")
+        return S.spans(R.with_samples(spark, sf_dir), [S.DETECTORS[name]]).select("doc_id", "seq", "start", "end", "label", "value")
 
     f.__name__ = f"spans_{name}"
     query(f)
 
 
-for _name in ("email", "phone", "id16", "grouped_id", "ip", "secret", "url", "numeric_date", "snils", "passport"):
+for _name in S.DETECTORS:
     _detector(_name)
 
 
@@ -60,7 +73,7 @@ def safe_label_counts(spark, d):
     return R.preds(spark, d).groupBy(L.safe(F.col("label")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query
+@staged
 def located_benchmark_values(spark, d):
     """Every occurrence of the e-mail values of a document in its text, whatever the case."""
     values = R.gold(spark, d).filter("canon = 'EMAIL'").select("doc_id", "value").distinct()
@@ -108,7 +121,7 @@ def counts_by_type_and_layer(spark, d):
     return g.agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("canon", F.lit("-")).alias("canon"), F.coalesce("detector", F.lit("-")).alias("detector"), "n")
 
 
-@query
+@staged
 def offset_validity(spark, d):
     """Spans that break 0 <= start < end <= length or whose value is not what the text holds there."""
     x = R.preds(spark, d).join(R.documents(spark, d).select("doc_id", "text"), "doc_id")
@@ -121,48 +134,50 @@ def _coverage(spark: SparkSession, d: str, predicate: str = "overlap", typed: bo
     return Q.coverage(R.gold(spark, d), I.longest_label(R.by_combo(spark, d), ["combo", "doc_id"]), list(R.COMBOS), predicate, typed)
 
 
-@query
+@staged
 def coverage_relaxed(spark, d):
     return Q.rates(Q.totals(_coverage(spark, d)))
 
 
-@query
+@staged
 def coverage_strict(spark, d):
     return Q.totals(_coverage(spark, d, "exact"))
 
 
-@query
+@staged
 def coverage_containment(spark, d):
     return Q.totals(_coverage(spark, d, "contain"))
 
 
-@query
+@staged
 def coverage_typed(spark, d):
     return Q.totals(_coverage(spark, d, "overlap", True))
 
 
-@query
+@staged
 def coverage_typed_strict(spark, d):
     return Q.totals(_coverage(spark, d, "exact", True))
 
 
-@query
+@staged
 def macro_metrics(spark, d):
     return Q.macro(_coverage(spark, d))
 
 
-@query
+@staged
 def leaked_spans_anti(spark, d):
     return I.semi(R.gold(spark, d), R.default_mask(spark, d), ["doc_id"], anti=True).select("doc_id", "detector", "seq", "start", "end", "canon")
 
 
-@query
+@staged
 def over_redaction_anti(spark, d):
-    bad = I.semi(R.default_mask(spark, d), R.gold(spark, d), ["doc_id"], anti=True, swap=True)
+    """Masks that touch no direct identifier."""
+    direct = R.gold(spark, d).filter("identifier_class = 'direct'")
+    bad = I.semi(R.default_mask(spark, d), direct, ["doc_id"], anti=True, swap=True)
     return bad.select("doc_id", "start", "end", "canon")
 
 
-@query
+@staged
 def unique_captures(spark, d):
     """Gold spans that the first layer misses and the last one catches."""
     p = R.preds(spark, d)
@@ -174,7 +189,7 @@ def _caught(spark: SparkSession, d: str, predicate: str = "overlap") -> DataFram
     return Q.caught(R.gold(spark, d), R.default_mask(spark, d), predicate)
 
 
-@query
+@staged
 def entity_recall(spark, d):
     """Protected and all entities by class, by type, and overall."""
     e = Q.entities(_caught(spark, d))
@@ -182,14 +197,14 @@ def entity_recall(spark, d):
     return g.select(F.coalesce("identifier_class", F.lit("-")).alias("identifier_class"), F.coalesce("canon", F.lit("-")).alias("canon"), "protected", "total", L.ratio(F.col("protected"), F.col("total")).alias("recall"))
 
 
-@query
+@staged
 def harm_weighted_recall(spark, d):
     e = Q.entities(_caught(spark, d)).withColumn("w", L.harm(F.col("canon")))
     x = e.agg(F.coalesce(F.sum(F.when(F.col("protected"), F.col("w"))), F.lit(0)).alias("got"), F.coalesce(F.sum("w"), F.lit(0)).alias("weight"))
     return x.withColumn("recall", L.ratio(F.col("got"), F.col("weight")))
 
 
-@query
+@staged
 def split_headline(spark, d):
     split = F.when(F.regexp_extract("client", "[0-9]+", 0).cast("int") % 2 == 0, "dev").otherwise("test")
     x = _caught(spark, d).groupBy(split.alias("split")).agg(F.count_if("covered").alias("c"), F.count(F.lit(1)).alias("n"))
@@ -202,12 +217,12 @@ def _leaks(spark: SparkSession, d: str) -> DataFrame:
     return x.withColumn("recall", F.when(F.col("gold") == 0, F.lit(1.0)).otherwise((F.col("gold") - F.col("leaked")) / F.col("gold").cast("double")))
 
 
-@query
+@staged
 def leaks_per_document(spark, d):
     return _leaks(spark, d)
 
 
-@query
+@staged
 def worst_case_leak(spark, d):
     return _leaks(spark, d).agg(
         F.min("recall").alias("min_recall"), F.expr("percentile(recall, 0.1)").alias("p10_recall"), F.sum("leaked").alias("leaked"), F.sum("gold").alias("gold"), F.sum("chars").alias("chars"),
@@ -215,7 +230,7 @@ def worst_case_leak(spark, d):
     )
 
 
-@query
+@staged
 def category_pass(spark, d):
     """By regulatory category: support, missed, and whether all was removed."""
     x = _caught(spark, d).groupBy(L.category(F.col("canon")).alias("category")).agg(F.count(F.lit(1)).alias("support"), F.count_if(~F.col("covered")).alias("fn"))
@@ -228,7 +243,7 @@ def _direct_residual(spark: SparkSession, d: str) -> DataFrame:
     return _caught(spark, d).filter("identifier_class = 'direct' AND NOT covered").groupBy("entity_id").agg(F.bool_and(spelled).alias("out_of_scope"))
 
 
-@query
+@staged
 def residual_tier(spark, d):
     a = _direct_residual(spark, d).agg(F.count_if(~F.col("out_of_scope")).alias("direct"), F.count_if("out_of_scope").alias("out_of_scope"))
     b = Q.entities(_caught(spark, d)).agg(F.count_if((F.col("canon") == "MEDICATION") & ~F.col("protected")).alias("special"))
@@ -236,7 +251,7 @@ def residual_tier(spark, d):
     return x.withColumn("tier", L.tier(F.col("direct"), F.col("special"), F.lit(0.0), F.lit(0.5)))
 
 
-@query
+@staged
 def quasi_survivors(spark, d):
     q = _caught(spark, d).filter("identifier_class = 'quasi'").groupBy("client", "entity_id").agg(F.bool_or(~F.col("covered")).alias("survives"), F.min("canon").alias("canon"))
     x = q.groupBy("client").agg(F.count_if("survives").alias("survivors"), F.count(F.lit(1)).alias("total"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("survives"), F.col("canon")))), ",").alias("types"))
@@ -264,7 +279,7 @@ def expected_matches(spark, d):
     return x.withColumn("singled_out", F.col("expected") < 1)
 
 
-@query
+@staged
 def sensitivity_sweep(spark, d):
     """Expected matches with each prior halved or doubled alone, then all; whether the verdict stays."""
     p = _priors(spark, d)
@@ -342,17 +357,17 @@ def _annotators(spark: SparkSession, d: str) -> DataFrame:
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     a = _annotators(spark, d)
     n = R.documents(spark, d).select("doc_id", F.length("text").alias("n")).join(a.select("doc_id").distinct(), "doc_id", "left_semi")
-    s = I.segments(a, n, ["doc_id"], "who")
-    return s.groupBy("doc_id", "from", "to").pivot("who", ["gold", "a1", "a2"]).agg(F.first("label")).withColumn("len", F.col("to") - F.col("from"))
+    s = I.segments(a, n, ["doc_id"], "who", ["gold", "a1", "a2"])
+    return stage(s.groupBy("doc_id", "from", "to").pivot("who", ["gold", "a1", "a2"]).agg(F.first("label")).withColumn("len", F.col("to") - F.col("from")))
 
 
-@query
+@staged
 def cohen_kappa_segments(spark, d):
     """Character-level kappa of two annotators, from elementary segments weighted by length."""
     return Q.kappa(_segments(spark, d), "gold", "a2", "len")
 
 
-@query
+@staged
 def fleiss_kappa(spark, d):
     s = _segments(spark, d)
     agree = (F.col("gold") == F.col("a1")).cast("long") + (F.col("gold") == F.col("a2")).cast("long") + (F.col("a1") == F.col("a2")).cast("long")
@@ -364,7 +379,7 @@ def fleiss_kappa(spark, d):
     return x.select("n", "same", "xx", F.when(pe == 1, 1.0).otherwise((pa - pe) / (1 - pe)).alias("kappa"))
 
 
-@query
+@staged
 def span_f1_pairwise(spark, d):
     """Typed overlap agreement of annotators i < j: hits and misses of either side."""
     a = _annotators(spark, d)
@@ -379,7 +394,7 @@ def span_f1_pairwise(spark, d):
     return x.withColumn("f1", L.ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")))
 
 
-@query
+@staged
 def cluster_majority(spark, d):
     """Clusters of overlapping spans of all annotators with the majority type and its extent."""
     a = _annotators(spark, d)
@@ -389,7 +404,7 @@ def cluster_majority(spark, d):
     return by.groupBy("doc_id", F.col("island_start").alias("cluster_start")).agg(F.max_by("label", win).alias("label"), F.max_by("s", win).alias("start"), F.max_by("e", win).alias("end"), F.max("n").alias("votes"), (F.count(F.lit(1)) == 1).alias("unanimous"))
 
 
-@query
+@staged
 def nonpii_preservation(spark, d):
     """Share of characters outside gold that the mask leaves alone, from interval lengths."""
     m, g = I.masks(R.preds(spark, d), ["doc_id"]), I.masks(R.gold(spark, d), ["doc_id"])
@@ -444,9 +459,12 @@ def duplicate_text_hash(spark, d):
 
 @query
 def corpus_fingerprint(spark, d):
-    """Hash of the documents' hashes in order, by language: a fingerprint that combines in parallel."""
-    x = R.documents(spark, d).select("lang", "doc_id", F.sha2("text", 256).alias("h"))
-    return x.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"), F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "h"))), lambda s: s["h"]), ""), 256), 1, 12).alias("sha"))
+    """Fingerprint by language: documents are hashed by bucket of their id, then the buckets' hashes, so no row holds them all."""
+    x = R.documents(spark, d).select("lang", "doc_id", F.expr("doc_id div 1024").alias("bucket"), F.sha2("text", 256).alias("h"))
+    joined = lambda key: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "h"))), lambda s: s["h"]), ""), 256)
+    b = x.groupBy("lang", "bucket").agg(F.count(F.lit(1)).alias("n"), joined("doc_id").alias("h"))
+    top = b.groupBy("lang", F.expr("bucket div 1024").alias("bucket")).agg(F.sum("n").alias("n"), joined("bucket").alias("h"))
+    return top.groupBy("lang").agg(F.sum("n").alias("n_docs"), F.substring(joined("bucket"), 1, 12).alias("sha"))
 
 
 @query
@@ -462,7 +480,7 @@ def resume_anti_join(spark, d):
     return R.documents(spark, d).join(done, "doc_id", "left_anti").groupBy("lang").agg(F.count(F.lit(1)).alias("todo"))
 
 
-@query
+@staged
 def metric_drift_full_outer(spark, d):
     """Counts by type of two layers side by side, with the difference."""
     p = R.preds(spark, d).groupBy("canon").agg(F.count(F.lit(1)).alias("fresh"))
@@ -484,7 +502,7 @@ def registry_latest(spark, d):
     return e.groupBy("event_type").agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"), F.count(F.lit(1)).alias("records"))
 
 
-@query
+@staged
 def bootstrap_recall(spark, d):
     """95 % interval of recall over resampled documents."""
     x = _caught(spark, d).groupBy("doc_id").agg(F.count_if("covered").alias("c"), F.count(F.lit(1)).alias("n"))
@@ -495,14 +513,10 @@ def bootstrap_recall(spark, d):
 # --- sequential steps -----------------------------------------------------------------------
 @query
 def chunk_boundaries(spark, d):
-    from ..operators.sequential import chunks, text_spans
-
-    return text_spans(R.documents(spark, d), chunks, "CHUNK")
+    return E.chunk_spans(R.documents(spark, d))
 
 
-@query
+@staged
 def greedy_matching(spark, d):
-    from ..operators.sequential import greedy_counts
-
-    x = greedy_counts(R.gold(spark, d), R.preds(spark, d))
+    x = E.greedy_counts(R.gold(spark, d), R.preds(spark, d))
     return x.agg(*[F.sum(c).alias(c) for c in ("correct", "partial", "wrong_type", "fp", "fn")])

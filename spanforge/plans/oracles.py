@@ -89,7 +89,7 @@ _LEAKS = f"""{GOLD}, {_MASK}, lk AS (SELECT doc_id, count(*) AS gold, count(*) F
     leaks AS (SELECT d.doc_id, length(d.text)::BIGINT AS chars, coalesce(leaked, 0) AS leaked, coalesce(gold, 0) AS gold, CASE WHEN coalesce(gold, 0) = 0 THEN 1.0::DOUBLE ELSE (gold - leaked) / gold::DOUBLE END AS recall FROM documents d LEFT JOIN lk USING (doc_id))"""
 _PRIORS = f"""{GOLD}, pri AS (SELECT client, canon, CASE canon WHEN 'EMAIL' THEN 1.0::DOUBLE / 1024 WHEN 'PHONE' THEN 1.0::DOUBLE / 4096 WHEN 'ID' THEN 1.0::DOUBLE / 65536 WHEN 'IP' THEN 1.0::DOUBLE / 256 END AS prior FROM (SELECT DISTINCT client, canon FROM gold)),
     priors AS (SELECT * FROM pri WHERE prior IS NOT NULL)"""
-_UNITS = """units AS (SELECT doc_id, source AS client, length(text) AS chars FROM documents QUALIFY row_number() OVER (PARTITION BY source ORDER BY doc_id) <= 5),
+_UNITS = """units AS (SELECT doc_id, source AS client, length(text) AS chars FROM documents),
     allp AS (SELECT a.doc_id AS a, b.doc_id AS b, a.client = b.client AS same, -abs(a.chars - b.chars) AS score FROM units a JOIN units b ON a.doc_id < b.doc_id),
     pairs AS (SELECT a, b, same, score FROM (SELECT *, row_number() OVER (PARTITION BY same ORDER BY a, b) - 1 AS r FROM allp) WHERE same OR (r % 5 = 0 AND r < 200))"""
 
@@ -122,9 +122,66 @@ _SEG = f"""{_ANN}, ed AS (SELECT doc_id, "start" AS pt FROM ann UNION SELECT doc
 
 _SPAN_COLUMNS = 'doc_id, seq, "start", "end", label, value'
 
+#: What each detector finds in the samples, written down by hand: (doc_id, seq, start, end, label, value).
+EXPECTED = {
+    "email": [(-5, 0, 63, 69, "EMAIL", "a@b.ru")],
+    "phone": [],
+    "phone_ru": [(-5, 0, 79, 97, "PHONE", "+7 (912) 345-67-89"), (-5, 1, 102, 117, "PHONE", "8 912 345 67 89")],
+    "id16": [],
+    "grouped_id": [(-1, 0, 6, 25, "ID", "1234 5678 9012 3456"), (-1, 1, 33, 47, "ID", "7722-4455-8811")],
+    "ip": [],
+    "secret": [],
+    "url": [(-5, 0, 36, 55, "URL", "https://vk.com/id77"), (-7, 0, 137, 159, "URL", "www.example.org/a?b=1.")],
+    "numeric_date": [(-1, 0, 54, 64, "DATE", "15.01.2024"), (-1, 1, 69, 75, "DATE", "3/4/99"), (-1, 2, 77, 93, "DATE", "1984-08-08T00:00"), (-7, 0, 69, 79, "DATE", "2024-01-15")],
+    "en_date": [
+        (-4, 0, 7, 19, "DATE", "last Tuesday"), (-4, 1, 21, 34, "DATE", "two weeks ago"), (-4, 2, 39, 60, "DATE", "the 19th of the month"),
+        (-4, 3, 62, 77, "DATE", "March 3rd, 2024"), (-4, 4, 79, 90, "DATE", "12 December"), (-4, 5, 95, 106, "DATE", "December/48"),
+    ],
+    "ru_date": [
+        (-3, 0, 11, 28, "DATE", "в прошлый вторник"), (-3, 1, 30, 46, "DATE", "3 дня тому назад"), (-3, 2, 48, 64, "DATE", "третьего февраля"),
+        (-3, 3, 66, 76, "DATE", "12 декабря"), (-3, 4, 79, 93, "DATE", "до Нового года"), (-6, 0, 68, 79, "DATE", "7 лет назад"),
+    ],
+    "snils": [(-2, 0, 6, 20, "ID", "123-456-789 01")],
+    "passport": [(-2, 0, 30, 41, "ID", "4510\t123456")],
+    "inn": [(-2, 0, 48, 58, "ID", "7707083893"), (-2, 1, 72, 84, "ID", "500100732259")],
+    "handle": [(-5, 0, 8, 19, "URL", "t.me/ivan_p"), (-5, 1, 25, 34, "URL", "@marina.k"), (-5, 2, 36, 55, "URL", "https://vk.com/id77")],
+    "patronymic": [(-6, 0, 6, 15, "PERSON", "Маратович"), (-6, 1, 23, 32, "PERSON", "Сергеевна")],
+}
+#: Patterns as the SQL engine writes them, for the documents; the detectors left out need look-arounds or Cyrillic word edges, and find nothing there.
+SQL_PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "phone": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}",
+    "id16": r"\b[0-9]{16}\b",
+    "ip": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
+    "secret": r"\b[0-9a-f]{32,}\b",
+    "url": r"(?:https?://|www\.)[A-Za-z0-9._~/?#=&%:+-]+",
+    "grouped_id": r"\b\d{4}[\s-]\d{4}[\s-]\d{2,4}(?:[\s-]\d{2,4})?\b",
+    "snils": r"\b\d{3}-\d{3}-\d{3}[ -]\d{2}\b",
+    "passport": r"\b\d{4}\s\d{6}\b",
+    "numeric_date": r"\b(?:(?:[12][0-9]|3[01]|0?[1-9])[./](?:1[0-2]|0?[1-9])[./][0-9]{2,4}|[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?:T[0-9]{2}:[0-9]{2}(?::[0-9]{2})?)?)\b",
+    "en_date": r"(?i)\b(?:yesterday|tomorrow|today|(?:last|next|this)\s+(?:week|month|year)|(?:last|next|this|on)\s+(?:mon|tues|wednes|thurs|fri|satur|sun)day"
+    r"|(?:\d{1,3}|a|an|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve)\s+(?:day|week|month|year)s?\s+ago)\b",
+}
+
+
+def literal(rows: list[tuple], columns: str) -> str:
+    """Rows written out as SQL."""
+    q = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else f"{v!r}::DOUBLE" if isinstance(v, float) else f"{v}::BIGINT"
+    return f"(SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(q, r)) + ')' for r in rows)}) t({columns}))"
+
+
+def _detector(name: str) -> str:
+    parts = []
+    if name in SQL_PATTERNS:
+        d = DETECTORS[name]
+        parts.append(f"SELECT {_SPAN_COLUMNS} FROM ({_spans(Detector(name, d.label, SQL_PATTERNS[name]), 0)})")
+    if EXPECTED[name]:
+        parts.append(f"SELECT * FROM {literal(EXPECTED[name], _SPAN_COLUMNS)}")
+    return " UNION ALL ".join(parts)
+
 
 def oracle_sql() -> dict[str, str]:
-    out = {f"spans_{n}": f"SELECT {_SPAN_COLUMNS} FROM ({_spans(DETECTORS[n], 0)})" for n in ("email", "phone", "id16", "grouped_id", "ip", "secret", "url", "numeric_date", "snils", "passport")}
+    out = {f"spans_{n}": _detector(n) for n in DETECTORS}
     pub = ", ".join(f"'{x}'" for x in L.PUBLISHABLE)
     out |= {
         "span_union_by_combo": f"WITH {PREDS}, {COMBO} SELECT combo, canon, count(*) AS n_spans, count(DISTINCT doc_id) AS n_docs FROM combo GROUP BY 1, 2",
@@ -147,7 +204,7 @@ def oracle_sql() -> dict[str, str]:
         "coverage_typed_strict": f"WITH {_coverage(_EXACT, _EXACT, True)} SELECT * FROM tot",
         "macro_metrics": f"WITH {_coverage(_OVER, _OVER)}, {_RATED.format('cov')} SELECT combo, count(*) AS n_types, avg(f1) AS macro_f1, avg(r) AS macro_r FROM rated WHERE c + fn > 0 GROUP BY 1",
         "leaked_spans_anti": f"""WITH {_CAUGHT} SELECT doc_id, detector, seq, "start", "end", canon FROM caught WHERE NOT covered""",
-        "over_redaction_anti": f"""WITH {GOLD}, {_MASK} SELECT m.doc_id, m."start", m."end", m.canon FROM mask m WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.doc_id = m.doc_id AND {_OVER})""",
+        "over_redaction_anti": f"""WITH {GOLD}, {_MASK} SELECT m.doc_id, m."start", m."end", m.canon FROM mask m WHERE NOT EXISTS (SELECT 1 FROM gold g WHERE g.identifier_class = 'direct' AND g.doc_id = m.doc_id AND {_OVER})""",
         "unique_captures": f"""WITH {GOLD}, {PREDS} SELECT canon, count(*) AS n FROM gold g WHERE NOT EXISTS (SELECT 1 FROM preds m WHERE m.detector = 'mail' AND m.doc_id = g.doc_id AND {_OVER}) AND EXISTS (SELECT 1 FROM preds m WHERE m.detector = 'digits' AND m.doc_id = g.doc_id AND {_OVER}) GROUP BY 1""",
         "entity_recall": f"""WITH {_CAUGHT}, {_ENT} SELECT *, {_ratio('protected', 'total')} AS recall FROM (SELECT coalesce(identifier_class, '-') AS identifier_class, coalesce(canon, '-') AS canon, count(*) FILTER (WHERE protected) AS protected, count(*) AS total FROM ent GROUP BY GROUPING SETS ((identifier_class), (canon), ()))""",
         "harm_weighted_recall": f"""WITH {_CAUGHT}, {_ENT}, h AS (SELECT protected, {_case('canon', L.HARM, str(L.DEFAULT_HARM))} AS w FROM ent) SELECT *, {_ratio('got', 'weight')} AS recall FROM (SELECT coalesce(sum(w) FILTER (WHERE protected), 0)::BIGINT AS got, coalesce(sum(w), 0)::BIGINT AS weight FROM h)""",
@@ -193,8 +250,10 @@ def oracle_sql() -> dict[str, str]:
         "fixed_windows": 'SELECT doc_id, (s // 1050)::BIGINT AS chunk, s::BIGINT AS "start", least(s + 1200, n)::BIGINT AS "end" FROM (SELECT doc_id, length(text) AS n, unnest(CASE WHEN length(text) <= 1200 THEN [0] ELSE range(0, length(text), 1050) END) AS s FROM documents)',
         "pseudonym_rank": f"""WITH {GOLD} SELECT doc_id, value, dense_rank() OVER (PARTITION BY doc_id ORDER BY f) AS number FROM (SELECT doc_id, trim(value) AS value, min("start") AS f FROM gold WHERE canon = 'EMAIL' GROUP BY 1, 2)""",
         "duplicate_text_hash": "SELECT substring(sha256(text), 1, 12) AS sha, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1 HAVING count(*) > 1",
-        "corpus_fingerprint": "SELECT lang, count(*) AS n_docs, substring(sha256(string_agg(sha256(text), '' ORDER BY doc_id)), 1, 12) AS sha FROM documents GROUP BY 1",
-        "manifest_validation": "SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT ALL SELECT doc_id FROM documents WHERE doc_id % 2 = 0)) AS missing, (SELECT count(*) FROM (SELECT doc_id FROM documents WHERE doc_id % 2 = 0 EXCEPT ALL SELECT doc_id FROM documents)) AS extra",
+        "corpus_fingerprint": """WITH b AS (SELECT lang, doc_id // 1024 AS bucket, count(*) AS n, sha256(string_agg(sha256(text), '' ORDER BY doc_id)) AS h FROM documents GROUP BY 1, 2),
+          t AS (SELECT lang, bucket // 1024 AS bucket, sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY bucket)) AS h FROM b GROUP BY 1, 2)
+          SELECT lang, sum(n)::BIGINT AS n_docs, substring(sha256(string_agg(h, '' ORDER BY bucket)), 1, 12) AS sha FROM t GROUP BY 1""",
+        "manifest_validation": "SELECT (SELECT count(*) FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)) AS missing, (SELECT count(*) FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents)) AS extra",
         "resume_anti_join": "SELECT lang, count(*) AS todo FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) GROUP BY 1",
         "metric_drift_full_outer": f"""WITH {GOLD}, {PREDS}, g AS (SELECT canon, count(*) AS committed FROM gold GROUP BY 1), p AS (SELECT canon, count(*) AS fresh FROM preds GROUP BY 1)
           SELECT canon, coalesce(committed, 0) AS committed, coalesce(fresh, 0) AS fresh, coalesce(fresh, 0) - coalesce(committed, 0) AS drift FROM g FULL JOIN p USING (canon)""",
@@ -204,9 +263,18 @@ def oracle_sql() -> dict[str, str]:
           x AS (SELECT doc_id, value, string_split(lower(text), lower(value)) AS g FROM v JOIN documents USING (doc_id)),
           y AS (SELECT doc_id, value, g, unnest(range(1, len(g))) AS i FROM x)
           SELECT doc_id, value, i - 1 AS seq, (list_sum(list_transform(g[1:i], lambda s: length(s))) + (i - 1) * length(value))::BIGINT AS "start", (list_sum(list_transform(g[1:i], lambda s: length(s))) + i * length(value))::BIGINT AS "end" FROM y""",
+        "chunk_boundaries": """WITH RECURSIVE c AS (
+            SELECT doc_id, text, length(text) AS n, 0 AS chunk, 0 AS s, CASE WHEN length(text) <= 2500 THEN length(text) END AS e FROM documents WHERE length(text) > 0
+            UNION ALL SELECT doc_id, text, n, chunk + CASE WHEN e IS NULL THEN 0 ELSE 1 END,
+              CASE WHEN e IS NULL THEN s ELSE greatest(e - 200, s + 1) END,
+              CASE WHEN e IS NOT NULL THEN CASE WHEN greatest(e - 200, s + 1) + 2500 >= n THEN n END ELSE s + 833 + coalesce(
+                (SELECT length(w) - strpos(reverse(w), reverse(x)) + 1 FROM (SELECT substring(text, s + 834, 1667) AS w), (VALUES (1, chr(10) || chr(10)), (2, chr(10)), (3, '. '), (4, '? '), (5, '! ')) v(k, x)
+                 WHERE strpos(reverse(w), reverse(x)) > 0 ORDER BY k LIMIT 1), 1667) END
+            FROM c WHERE e IS NULL OR e < n)
+          SELECT doc_id, chunk::BIGINT AS chunk, s::BIGINT AS "start", e::BIGINT AS "end" FROM c WHERE e IS NOT NULL""",
         "bootstrap_recall": f"""WITH {_CAUGHT}, k AS (SELECT doc_id, count(*) FILTER (WHERE covered) AS c, count(*) AS n FROM caught GROUP BY 1), o AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ord, c, n FROM k), z AS (SELECT count(*) AS size FROM o),
-          d AS (SELECT it, ((((it * 7919 + draw * 104729 + 20260601) * 48271) % 2147483647) * 16807 % 2147483647) % z.size AS ord FROM range(200) a(it), z, range((SELECT size FROM z)) b(draw)),
+          d AS (SELECT it, ((((it * 7919 + draw * 104729 + 20260601) * 48271) % 2147483647) * 16807 % 2147483647) % z.size AS ord FROM range(2000) a(it), z, range((SELECT size FROM z)) b(draw)),
           s AS (SELECT it, sum(c)::DOUBLE / sum(n)::DOUBLE AS x FROM d JOIN o USING (ord) GROUP BY 1)
-          SELECT (SELECT x FROM s ORDER BY x LIMIT 1 OFFSET 5) AS lo, (SELECT list_sum(list(x ORDER BY x)) / count(*) FROM s) AS mean, (SELECT x FROM s ORDER BY x LIMIT 1 OFFSET 194) AS hi""",
+          SELECT (SELECT x FROM s ORDER BY x LIMIT 1 OFFSET 50) AS lo, (SELECT list_sum(list(x ORDER BY x)) / count(*) FROM s) AS mean, (SELECT x FROM s ORDER BY x LIMIT 1 OFFSET 1949) AS hi""",
     }
     return out

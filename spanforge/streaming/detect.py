@@ -1,4 +1,4 @@
-"""Detection over a landing folder: stateless, so every document is handled as it comes."""
+"""Detection over a landing folder: every document is handled as it comes, batch by batch."""
 
 from __future__ import annotations
 
@@ -7,11 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from ..functions.spans import Detector, spans
 
 
-def detect(spark: SparkSession, path: str, schema: str, detectors: list[Detector]) -> DataFrame:
-    """Streaming spans of the Parquet files that arrive in ``path``."""
-    return spans(spark.readStream.schema(schema).parquet(path), detectors)
+def read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The stream of Parquet files that arrive in ``path``."""
+    return spark.readStream.schema(schema).parquet(path)
 
 
-def start(spans_: DataFrame, out: str, checkpoint: str):
-    """Append the spans to Parquet, once each."""
-    return spans_.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+def start(docs: DataFrame, detectors: list[Detector], out: str, checkpoint: str):
+    """Write the spans of each batch to its own folder of ``out``; a batch that is run again replaces what it wrote."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        spans(batch, detectors).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

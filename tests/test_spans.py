@@ -25,7 +25,8 @@ def test_offsets_count_code_points(spark):
 @pytest.mark.parametrize("text, name, value", [
     ("31.12.2024 99.99.9999", "numeric_date", ["31.12.2024"]), ("at 2024-01-31T10:00", "numeric_date", ["2024-01-31T10:00"]), ("00:12:45", "numeric_date", []),
     ("7722-4455-8811", "grouped_id", ["7722-4455-8811"]), ("last Friday, 3 weeks ago", "en_date", ["last Friday", "3 weeks ago"]), ("ИНН: 123456789012", "inn", ["123456789012"]),
-    ("Анна Петровна пришла", "patronymic", ["Петровна"]), ("мне 34 года", "age", ["34"]), ("12 марта", "ru_date", ["12 марта"]), ("see t.me/abc @name", "handle", ["t.me/abc", "@name"]),
+    ("Анна Петровна пришла", "patronymic", ["Петровна"]), ("Кирпич", "patronymic", []), ("12 марта", "ru_date", ["12 марта"]), ("под новый год", "ru_date", []), ("see t.me/abc @name", "handle", ["t.me/abc", "@name"]),
+    ("третьего февраля", "ru_date", ["третьего февраля"]), ("two weeks ago", "en_date", ["two weeks ago"]), ("1234\t5678\t9012", "grouped_id", ["1234\t5678\t9012"]), ("+7 (912) 345-67-89", "phone_ru", ["+7 (912) 345-67-89"]),
 ])
 def test_detectors(spark, text, name, value):
     docs = spark.createDataFrame([(0, text)], "doc_id long, text string")
@@ -33,6 +34,22 @@ def test_detectors(spark, text, name, value):
     assert [r.value for r in got] == value and all(text[r.start : r.end] == r.value for r in got)
 
 
+def test_ages(spark):
+    texts = {0: "мне сорок один", 1: "ему 7 лет назад", 2: "возраст: уже 33", 3: "сорок пять лет мужику", 4: "двадцать лет вместе", 5: "дал ей один проект", 6: "мне 34 года", 7: "возраст 50 лет женщине"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = S.first_of_each(S.spans(docs, S.AGES)).collect()
+    assert sorted((r.doc_id, r.value) for r in got) == [(0, "сорок один"), (1, "7"), (2, "33"), (3, "сорок пять"), (6, "34"), (7, "50")]
+    assert all(texts[r.doc_id][r.start : r.end] == r.value for r in got)
+
+
+def test_one_scan_of_the_documents(spark):
+    from spanforge.plans import catalog
+
+    scans = lambda df: df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")
+    for name in ("coverage_relaxed", "entity_recall", "worst_case_leak", "fleiss_kappa", "macro_metrics", "nonpii_preservation"):
+        assert scans(catalog.queries()[name](spark, "/root/testdata/sf0.001")) <= 2, name
+
+
 def test_merge_rules(spark):
     touch = frame(spark, [(0, 0, 5, "A", 1.0, 0, 0), (0, 3, 9, "B", 1.0, 0, 1), (0, 9, 12, "C", 1.0, 0, 2)])
     assert sorted((r.start, r.end) for r in I.masks(touch, ["doc_id"]).collect()) == [(0, 9), (9, 12)]
@@ -142,15 +159,80 @@ def test_asof_is_inclusive(spark):
     assert {r.t: r.v for r in I.last_at_or_before(e, p, ["k"], "t", "v").collect()} == {0: None, 1: "a", 4: "a", 5: "b"}
 
 
-def test_sequential_steps():
-    text = "---\nclient_id: C-17 # x\nname: \"Ann Lee\"\nclient: Q\n---\nbody name: No"
-    assert [(text[a:b], k) for a, b, k in seq.frontmatter(text)] == [("C-17", "ID"), ("Ann Lee", "PERSON")]
-    assert seq.frontmatter("x\n" + text) == []
-    assert seq.chunks("a" * 9 + "\n" + "b" * 9, 12, 3) == [(0, 10), (7, 19)]
-    assert [text for text in seq.propagate("Ивановой и Иванов", ["Иванова"])] == [(0, 8), (11, 17)]
-    assert seq.greedy([(0, 5, "A"), (6, 9, "B")], [(0, 5, "A"), (6, 8, "C")]) == {"correct": 1, "partial": 0, "wrong_type": 1, "fp": 1, "fn": 1}
-    assert seq.keep_last([(0, 5, "e"), (2, 4, "e"), (3, 6, "f")]) == [(0, 5, "e"), (3, 6, "f")]
-    assert seq.first_array("no [x [1, 2] [3]") == [1, 2] and seq.first_array("none") is None
+def test_frontmatter(spark):
+    block = "---\nclient_id: C-17 # x\nname: \"Ann Lee\"\nclient: Q\n  Therapist: 'O Hara' \npatient:\ndate: 1\n---\nbody name: No"
+    docs = spark.createDataFrame([(0, block), (1, "x\n" + block), (2, "\ufeff" + block.replace("\n", "\r\n")), (3, None), (4, "---\nname: open")], "doc_id long, text string")
+    got = seq.frontmatter(docs).orderBy("doc_id", "start").collect()
+    want = [("C-17", "ID"), ("Ann Lee", "PERSON"), ("O Hara", "PERSON")]
+    assert [(r.doc_id, r.value, r.label) for r in got] == [(i, *w) for i in (0, 2) for w in want]
+    text = {r.doc_id: r.text for r in docs.collect()}
+    assert all(text[r.doc_id][r.start : r.end] == r.value for r in got)
+
+
+def test_chunks_against_the_definition():
+    rng = random.Random(3)
+    seps = ("\n\n", "\n", ". ", "? ", "! ")
+    for _ in range(300):
+        text = "".join(rng.choice("ab.?! \n") for _ in range(rng.randint(0, 60)))
+        size, n = rng.randint(1, 20), len(text)
+        overlap = rng.randrange(size)
+        want, start = [], 0
+        while start < n:
+            end = min(start + size, n)
+            if end < n:
+                end = next((at + len(s) for s in seps if (at := text.rfind(s, start + max(1, size // 3), end)) >= 0), end)
+            want.append((start, end))
+            start = n if end >= n else max(end - overlap, start + 1)
+        assert list(seq.chunks(text, size, overlap)) == want
+    with pytest.raises(ValueError):
+        list(seq.chunks("a", 3, 3))
+
+
+def test_chunk_rows_and_rebased_spans(spark):
+    docs = spark.createDataFrame([(0, "a" * 9 + "\n" + "b" * 9), (1, None), (2, "")], "doc_id long, text string")
+    c = seq.chunk_spans(docs, 12, 3)
+    assert sorted(map(tuple, c.collect())) == [(0, 0, 0, 10), (0, 1, 7, 19)]
+    found = spark.createDataFrame([(0, 0, 8, 10, "X"), (0, 1, 1, 3, "X"), (0, 1, 5, 99, "X")], "doc_id long, chunk long, start long, end long, label string")
+    got = seq.rebase(c, found, docs.selectExpr("doc_id", "length(text) AS n"))
+    assert [(r.start, r.end, r.label, r.chunk) for r in got.collect()] == [(8, 10, "X", 0)]
+
+
+def test_names(spark):
+    a = spark.createDataFrame([(x, y) for x, y in [("тимур", "тимура"), ("анна", "анной"), ("аня", "ани"), ("вера", "верой"), ("лебедев", "лебедева"), ("иван", "иванович"), ("роман", "романтик"), ("ян", "ян")]], "a string, b string")
+    def brute(x, y):
+        n = min(len(x), len(y))
+        p = next((i for i in range(n) if x[i] != y[i]), n)
+        return x == y or n >= 4 and p >= n - 2 and len(x) - p <= 3 and len(y) - p <= 3
+    got = a.select("a", "b", seq.same_name(F.col("a"), F.col("b")).alias("same")).collect()
+    assert all(r.same == brute(r.a, r.b) for r in got) and {r.same for r in got} == {True, False}
+    text = "Тимура видели. Timur звонил, вера в тимур и Верой, лебедев ждал Лебедева."
+    docs = spark.createDataFrame([(0, text), (1, text)], "doc_id long, text string")
+    persons = spark.createDataFrame([(0, "Тимур Лебедев"), (0, "Вера")], "doc_id long, value string")
+    got = seq.propagate(docs, persons).orderBy("start").collect()
+    assert [r.value for r in got] == ["Тимура", "Timur", "тимур", "Верой", "лебедев", "Лебедева"]
+
+
+def test_one_to_one_matching(spark):
+    cols = "doc_id long, start int, end int, canon string"
+    gold = spark.createDataFrame([(0, 0, 5, "A"), (0, 6, 9, "B"), (2, 0, 3, "A"), (3, 0, 4, "A"), (3, 2, 6, "A")], cols)
+    pred = spark.createDataFrame([(0, 0, 5, "A"), (0, 6, 8, "C"), (1, 0, 1, "A"), (3, 1, 5, "A"), (3, 3, 9, "A"), (3, 20, 22, "Z")], cols)
+    got = {r.doc_id: (r.correct, r.partial, r.wrong_type, r.fp, r.fn) for r in seq.greedy_counts(gold, pred).collect()}
+    assert got == {0: (1, 0, 1, 1, 1), 1: (0, 0, 0, 1, 0), 2: (0, 0, 0, 0, 1), 3: (2, 2, 0, 1, 0)}
+    got = {r.doc_id: tuple(r)[1:] for r in seq.greedy_counts(gold, pred, relaxed=False, types={"A", "B"}).collect()}
+    assert got == {0: (1, 0, 0, 0, 1), 1: (0, 0, 0, 1, 0), 2: (0, 0, 0, 0, 1), 3: (0, 0, 0, 2, 2)}
+
+
+def test_nested_and_structured_spans(spark):
+    rows = [(0, 0, 5, "e", "PERSON"), (0, 2, 4, "e", "PERSON"), (0, 3, 6, "f", "PERSON"), (0, 4, 7, "e", "PERSON"), (1, 0, 20, "m", "EMAIL"), (1, 2, 5, "p", "PERSON"), (1, 25, 28, "p", "PERSON"), (1, 3, 9, "x", "ID")]
+    found = spark.createDataFrame(rows, "doc_id long, start int, end int, entity_id string, type string")
+    kept = seq.drop_nested(found)
+    assert sorted((r.doc_id, r.start, r.end) for r in kept.collect()) == [(0, 0, 5), (0, 3, 6), (0, 4, 7), (1, 0, 20), (1, 2, 5), (1, 3, 9), (1, 25, 28)]
+    assert sorted((r.start, r.end) for r in seq.drop_inside(kept).filter("doc_id = 1").collect()) == [(0, 20), (3, 9), (25, 28)]
+
+
+def test_first_array(spark):
+    x = spark.createDataFrame([('no [x [1, 2] [3]',), ("none",), (None,), ('a ["]", {"b": [1]}] c',), ("[1, [2]",)], "t string")
+    assert [r.a for r in x.select(seq.first_array(F.col("t")).alias("a")).collect()] == ["[1, 2]", None, None, '["]", {"b": [1]}]', "[2]"]
 
 
 def test_sources_and_stream(spark, tmp_path):
@@ -158,7 +240,7 @@ def test_sources_and_stream(spark, tmp_path):
     r = files.read_gold(spark, str(tmp_path / "g.jsonl")).first()
     assert (r.canon, r.identifier_class, r.harm, r.entity_id) == ("PERSON", "direct", "medium", "d:3")
     spark.createDataFrame([(0, "a@b.co")], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
-    q = detect.start(detect.detect(spark, str(tmp_path / "in"), "doc_id long, text string", [S.EMAIL]), str(tmp_path / "out"), str(tmp_path / "c"))
+    q = detect.start(detect.read(spark, str(tmp_path / "in"), "doc_id long, text string"), [S.EMAIL], str(tmp_path / "out"), str(tmp_path / "c"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
 
