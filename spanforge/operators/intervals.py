@@ -90,13 +90,13 @@ def semi(left: DataFrame, right: DataFrame, keys: list[str], predicate: str = "o
     return a.join(b, cond, "left_anti" if anti else "left_semi")
 
 
-def redact(docs: DataFrame, mask: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "label") -> DataFrame:
-    """(id, redacted): the text with each mask interval replaced by ``<LABEL>``."""
+def redact(docs: DataFrame, mask: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "label", marks: tuple[str, str] = ("<", ">")) -> DataFrame:
+    """(id, redacted): the text with each mask interval replaced by its label between ``marks``."""
     w = W.partitionBy(id_col).orderBy("start")
     pieces = mask.withColumn("after", F.lag("end", 1, 0).over(w)).groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("start", "end", "after", F.col(label).alias("label")))).alias("m"))
     joined = docs.join(pieces, id_col, "left")
     t = F.col(text_col)
-    body = F.transform("m", lambda x: F.concat(F.substring(t, x["after"] + 1, x["start"] - x["after"]), F.lit("<"), x["label"], F.lit(">")))
+    body = F.transform("m", lambda x: F.concat(F.substring(t, x["after"] + 1, x["start"] - x["after"]), F.lit(marks[0]), x["label"], F.lit(marks[1])))
     tail = F.substring(t, F.element_at("m", -1)["end"] + 1, F.length(t))
     return joined.select(id_col, F.when(F.col("m").isNull(), t).otherwise(F.concat(F.array_join(body, ""), tail)).alias("redacted"))
 
