@@ -39,7 +39,7 @@ def unpack(data: bytes, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Tree:
-    """Shape of the tree: ``bits`` a digit, ``depth`` digits; keys travel as their ``width`` leading bytes."""
+    """Shape of the tree: ``bits`` a digit, ``depth`` digits; keys are told apart by their ``width`` leading bytes."""
 
     bits: int
     depth: int
@@ -57,17 +57,22 @@ class Tree:
         return np.searchsorted(digit, np.arange((1 << self.bits) + 1, dtype=U64))
 
     def short(self, keys: np.ndarray) -> bytes:
-        if self.width == 8:
-            return keys.astype("<u8").tobytes()
-        b = np.ascontiguousarray(keys.astype("<u8")).view(np.uint8).reshape(-1, 8)
-        return np.ascontiguousarray(b[:, 8 - self.width :]).tobytes()
+        """Sorted, distinct keys as the first one and the steps between them, each in as few bytes as the widest needs."""
+        k = keys >> U64(64 - 8 * self.width)
+        step = np.diff(k)
+        wide = max(1, -(-int(step.max()).bit_length() // 8)) if len(step) else 1
+        b = np.ascontiguousarray(step.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :wide]
+        return bytes([wide]) + int(k[0]).to_bytes(8, "little") + np.ascontiguousarray(b).tobytes()
 
     def full(self, data: bytes) -> np.ndarray:
-        if self.width == 8:
-            return np.frombuffer(data, "<u8").astype(U64, copy=False)
-        out = np.zeros((len(data) // self.width, 8), np.uint8)
-        out[:, 8 - self.width :] = np.frombuffer(data, np.uint8).reshape(-1, self.width)
-        return out.view("<u8").ravel()
+        wide = data[0]
+        n = (len(data) - 9) // wide
+        b = np.zeros((n, 8), np.uint8)
+        b[:, :wide] = np.frombuffer(data, np.uint8, offset=9).reshape(n, wide)
+        k = np.empty(n + 1, U64)
+        k[0] = int.from_bytes(data[1:9], "little")
+        k[1:] = b.view("<u8").ravel()
+        return np.cumsum(k, dtype=U64) << U64(64 - 8 * self.width)
 
     def whole(self, keys: np.ndarray) -> np.ndarray:
         """Keys without what does not travel."""

@@ -73,22 +73,6 @@ def test_bpe_equals_tiktoken_and_round_trips(docs):
     assert all(bytes(r.bytes).decode() == (r.text or "") for r in back)
 
 
-def test_language_model(docs):
-    tok = {i: WORD.findall(fold(t)) + [0] for i, t in TEXTS.items()}
-    c, b = Counter(), Counter()
-    for i, t in tok.items():
-        if zlib.crc32(str(i).encode()) % 5 != 1:
-            c.update(t)
-            b.update(zip(t[:-1], t[1:]))
-    n, v = sum(c.values()), len(c)
-    for r in lm.score(docs, block_bytes=1000).collect():
-        t = tok[r.doc_id]
-        p = [(c[w] + 0.5) / (n + 0.5 * (v + 1)) for w in t]
-        s = math.log10(p[0]) + sum(math.log10((1 - lm.BACKOFF) * b[t[k - 1], t[k]] / c[t[k - 1]] + lm.BACKOFF * p[k]) if c[t[k - 1]] else math.log10(p[k]) for k in range(1, len(t)))
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
-        assert r.base_score == pytest.approx(sum(map(math.log10, p))) and r.score == pytest.approx(s)
-
-
 def test_sharding(spark, docs):
     many = docs.unionAll(docs.filter("doc_id = 7")).unionAll(docs.filter("doc_id = 7"))
     got = sharding.assign(many, limit=9000).collect()
