@@ -279,10 +279,13 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
         by_class = at.groupBy("band", "value", "class").agg(F.count(F.lit(1)).alias("m"))
         top = by_class.groupBy("band", "value").agg(F.count(F.lit(1)).alias("classes"), F.max_by("class", F.struct("m", "class")).alias("top")).filter("classes > 1")
         at = at.join(top, ["band", "value"]).join(traits, "id").withColumn("blocks", F.ceil(F.col("size") / _SCAN).cast("int"))
-        held = at.select("band", "value", "id", "class", "n", "odd", "parity", F.pmod(F.xxhash64("id"), "blocks").cast("int").alias("block"), F.lit(False).alias("asks"))
-        ask = at.filter("class != top").select("band", "value", "id", "class", "n", "odd", "parity", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"))
+        # both sides are blocked, so that a task has at most _SCAN members of each
+        own, every = F.pmod(F.xxhash64("id"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        block = lambda side: [(own if side == name else every).alias(f"{name}_block") for name in ("held", "asking")]
+        held = at.select("band", "value", "id", "class", "n", "odd", "parity", *block("held"), F.lit(False).alias("asks"))
+        ask = at.filter("class != top").select("band", "value", "id", "class", "n", "odd", "parity", *block("asking"), F.lit(True).alias("asks"))
         kind = member.schema["id"].dataType.simpleString()
-        found = held.unionByName(ask).groupBy("band", "value", "block").applyInArrow(_partners(limit, bits, percent), f"a {kind}, b {kind}, more boolean")
+        found = held.unionByName(ask).groupBy("band", "value", "held_block", "asking_block").applyInArrow(_partners(limit, bits, percent), f"a {kind}, b {kind}, more boolean")
         found = cut(found.groupBy("a", "b").agg(F.max("more").alias("more")))
         last = found.filter("more").isEmpty()
         found = cut(found.select("a", "b").join(tried, ["a", "b"], "left_anti"))

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .storage import cut
 from .textnp import Words, column, raw, sets, slices
 
 #: Labelled rows used at most (the smallest by a hash of the id).
@@ -110,7 +111,7 @@ def _texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most:
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELS) -> Model:
     """Fit both heads on at most ``most`` labelled documents."""
-    rows = _texts(docs, labels, id_col, text_col, most)
+    rows = cut(_texts(docs, labels, id_col, text_col, most))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -180,14 +181,26 @@ def pseudo(n: float | None, groups: int, between: float | None, m: float) -> flo
     return float(min(1000.0, max(1.0, within / excess))) if excess > 0 else 1000.0
 
 
+#: Sites that are broadcast at most, and parts into which the rows of a site are dealt beyond that.
+MAX_SITES, SALT = 100_000, 32
+
+
+def _with_sites(rows: DataFrame, paths: DataFrame) -> DataFrame:
+    """``rows`` with the sums of their (host, path): broadcast while these are few, else by salted keys, as one site may hold a third of all rows."""
+    if paths.limit(MAX_SITES + 1).count() <= MAX_SITES:
+        return rows.join(F.broadcast(paths), ["host", "path"])
+    every = paths.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALT)).cast("int")).join(every, ["host", "path", "salt"]).drop("salt")
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host: str | Column = "source", path: str | Column = "lang", most: int = MAX_LABELS) -> DataFrame:
     """Per row: id, host, path, ``doc_score`` (evidence alone), ``host_score``, ``path_score``,
     ``quality`` (posterior), ``toxic_score`` and ``kept`` (quality and toxicity on the right side of one half)."""
     host, path = (F.col(x) if isinstance(x, str) else x for x in (host, path))
     rows = evidence(docs, learn(docs, labels, id_col, text_col, most), id_col, text_col, host, path)
     p = 1 / (1 + F.exp(-F.col("logit")))
-    rows = rows.withColumn("p", p)
-    paths = rows.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("n"))
+    rows = cut(rows).withColumn("p", p)  # texts are scored once
+    paths = cut(rows.groupBy("host", "path").agg(F.sum("p").alias("s"), F.count(F.lit(1)).alias("n")))
     hosts = paths.groupBy("host").agg(F.sum("s").alias("hs"), F.sum("n").alias("hn"))
     total = hosts.agg(F.sum("hs"), F.sum("hn")).first()
     m = min(0.999, max(0.001, (total[0] or 0.5) / (total[1] or 1)))
@@ -199,5 +212,5 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     prior = (F.col("s") - F.col("p") + b * F.col("host_score")) / (F.col("n") - 1 + b)
     prior = F.least(F.lit(0.999), F.greatest(F.lit(0.001), prior))
     logit = F.col("logit") + F.log(prior / (1 - prior)) - F.log(F.lit(m / (1 - m)))
-    out = rows.join(paths, ["host", "path"]).withColumn("quality", 1 / (1 + F.exp(-logit))).withColumn("toxic_score", 1 / (1 + F.exp(-F.col("toxic"))))
+    out = _with_sites(rows, paths).withColumn("quality", 1 / (1 + F.exp(-logit))).withColumn("toxic_score", 1 / (1 + F.exp(-F.col("toxic"))))
     return out.select(F.col("id").alias(id_col), "host", "path", F.col("p").alias("doc_score"), "host_score", "path_score", "quality", "toxic_score", ((F.col("quality") >= 0.5) & (F.col("toxic_score") < 0.5)).alias("kept"))

@@ -3,8 +3,8 @@
 A row's key is a 60-bit hash of its identifier.  The directory maps hash prefixes to buckets; a
 bucket over the byte limit splits on its next bit, others stay, so a row's shard is the shortest
 prefix of its key whose rows fit.  Bytes are first summed by a prefix somewhat finer than needed;
-all further levels are sums of these sums, so rows are read twice and shuffled once, by prefixes
-that hashing spreads evenly.  Rows of one key that fit no bucket even at the last bit go to
+all further levels are sums of these sums.  Identifiers, sizes and keys are read from the texts once
+and checkpointed; rows are shuffled by prefixes that hashing spreads evenly.  Rows of one key that fit no bucket even at the last bit go to
 overflow pages of that bucket, as in the published scheme.
 
 Defined results: a null text has no bytes; a null identifier is the text ``null``; a single row
@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .storage import cut
+
 KEY_BITS = 60
 #: Bytes of text in a shard at most.
 SHARD_BYTES = 64 << 20
@@ -44,28 +46,38 @@ def directory(sizes: DataFrame, limit: int, fine: int, low: int = 0) -> DataFram
     return cells.join(found, "cell", "left").select("cell", F.col("b.depth").alias("depth"), F.col("b.shard_bytes").alias("shard_bytes"))
 
 
+def _narrow(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    size = F.coalesce(F.octet_length(docs[text_col].cast("string")), F.lit(0)).cast("long")
+    return docs.select(docs[id_col].alias("id"), size.alias("bytes"), key(docs[id_col]).alias("k"), *more)
+
+
 def assign(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> DataFrame:
     """Per row: id, ``n_bytes``, ``shard`` (bits of the prefix, and ``+page`` on overflow), ``depth``, ``shard_bytes``, ``oversized``."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.octet_length(F.col(text_col).cast("string")), F.lit(0)).cast("long").alias("bytes"), key(F.col(id_col)).alias("k"))
-    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    rows = cut(_narrow(docs, id_col, text_col))
+    got = _placed(rows, rows, limit)
+    return got.select(F.col("id").alias(id_col), F.col("bytes").alias("n_bytes"), "shard", F.col("depth").cast("int").alias("depth"), "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"))
+
+
+def _placed(rows: DataFrame, narrow: DataFrame, limit: int) -> DataFrame:
+    """``rows`` (id, bytes, k and whatever else) with depth, shard_bytes and shard; ``narrow`` has the first three of the same rows."""
+    total = narrow.agg(F.sum("bytes")).first()[0] or 0
     fine = min(KEY_BITS, max(1, (max(1, total // limit)).bit_length() + 6))
-    tree = directory(rows, limit, fine)
-    got = rows.withColumn("cell", prefix(F.col("k"), fine)).join(tree, "cell")
-    deep = tree.filter("depth IS NULL")
-    if fine < KEY_BITS and not deep.isEmpty():  # a key, or a row, holds much: use all bits there
-        hot = got.filter("depth IS NULL").select("id", "bytes", "k", "cell")
+    tree = cut(directory(narrow, limit, fine))
+    got = rows.withColumn("cell", prefix(F.col("k"), fine)).join(tree, "cell").drop("cell")
+    none = F.lit(None).cast("long")
+    if fine < KEY_BITS and not tree.filter("depth IS NULL").isEmpty():  # a key, or a row, holds much: use all bits there
+        deep = narrow.withColumn("cell", prefix(F.col("k"), fine)).join(tree.filter("depth IS NULL").select("cell"), "cell", "left_semi")
         # levels beyond the fine one, for the few cells that need them; the sums of single keys are small
-        keys = hot.groupBy("k").agg(F.sum("bytes").alias("bytes"))
-        full = directory(keys, limit, KEY_BITS, fine + 1).withColumnRenamed("cell", "k")
-        hot = hot.join(full, "k").select("id", "bytes", "k", "depth", "shard_bytes")
-        over = _pages(hot.filter("depth IS NULL"), limit)
-        good = got.filter("depth IS NOT NULL").unionByName(hot.filter("depth IS NOT NULL").withColumn("cell", F.lit(0).cast("long"))).select("id", "bytes", "k", "depth", "shard_bytes", F.lit(None).cast("long").alias("page"))
-        got = good.unionByName(over)
+        keys = deep.groupBy("k").agg(F.sum("bytes").alias("bytes"))
+        full = cut(directory(keys, limit, KEY_BITS, fine + 1).withColumnRenamed("cell", "k"))
+        hot = got.filter("depth IS NULL").drop("depth", "shard_bytes").join(full, "k")
+        good = got.filter("depth IS NOT NULL").unionByName(hot.filter("depth IS NOT NULL")).withColumn("page", none)
+        got = good.unionByName(_pages(hot.filter("depth IS NULL").drop("depth", "shard_bytes"), limit))
     else:
-        got = got.withColumn("page", F.lit(None).cast("long"))
+        got = got.withColumn("page", none)
     bits = F.lpad(F.conv(prefix(F.col("k"), F.col("depth")).cast("string"), 10, 2), F.col("depth").cast("int"), F.lit("0"))
     name = F.concat(F.when(F.col("depth") == 0, F.lit("")).otherwise(bits), F.coalesce(F.concat(F.lit("+"), F.col("page").cast("string")), F.lit("")))
-    return got.select(F.col("id").alias(id_col), F.col("bytes").alias("n_bytes"), name.alias("shard"), F.col("depth").cast("int").alias("depth"), "shard_bytes", (F.col("shard_bytes") > limit).alias("oversized"))
+    return got.withColumn("shard", name)
 
 
 def _pages(rows: DataFrame, limit: int) -> DataFrame:
@@ -76,24 +88,22 @@ def _pages(rows: DataFrame, limit: int) -> DataFrame:
     over checkpointed rows, so that no task sees all rows of a key.
     """
     held = rows.withColumn("c", F.length(F.bin("bytes")).cast("long")).withColumn("part", F.spark_partition_id())
-    held = _cut(held)
+    held = cut(held)
     counts = held.groupBy("k", "c", "part").count()
     before = F.coalesce(F.sum("count").over(W.partitionBy("k", "c").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ranked = held.withColumn("r", F.row_number().over(W.partitionBy("k", "c", "part").orderBy("id")) - 1).join(counts.withColumn("before", before).drop("count"), ["k", "c", "part"])
     each = F.greatest(F.lit(1), F.floor(F.lit(limit) / (F.call_function("shiftleft", F.lit(1).cast("long"), F.col("c").cast("int")) - 1)))
     paged = ranked.withColumn("page", F.floor((F.col("r") + F.col("before")) / each) * 64 + F.col("c"))
     sums = paged.groupBy("k", "page").agg(F.sum("bytes").alias("shard_bytes"))
-    return paged.drop("shard_bytes").join(sums, ["k", "page"]).select("id", "bytes", "k", F.lit(KEY_BITS).alias("depth"), "shard_bytes", "page")
-
-
-def _cut(df: DataFrame) -> DataFrame:
-    from .storage import cut
-
-    return cut(df)
+    return paged.join(sums, ["k", "page"]).drop("c", "part", "r", "before").withColumn("depth", F.lit(KEY_BITS))
 
 
 def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = SHARD_BYTES) -> None:
-    """Write ``docs`` as Parquet, one folder for each shard; rows are matched to shards by the identifier's key."""
-    shards = assign(docs, id_col, text_col, limit).select(id_col, "shard").distinct()
-    out = docs.join(shards, id_col)
-    out.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write every row of ``docs`` once, as Parquet with one folder for each shard.
+
+    Rows carry their columns through the assignment, so rows that share an identifier, or have none,
+    are written as often as they occur.
+    """
+    rows = _narrow(docs, id_col, text_col, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    out = _placed(rows, cut(_narrow(docs, id_col, text_col)), limit).select("row.*", F.col("shard").alias("_shard"))
+    out.repartition("_shard").write.partitionBy("_shard").parquet(path)

@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.stage import shared_folder
+
 
 def ensure(spark: SparkSession) -> None:
-    """Set a checkpoint folder, from ``spark.checkpoint.dir`` or, where that is unset (tests), a temporary one."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    """See that a checkpoint folder is set; on a cluster without one this raises ``RuntimeError``."""
+    shared_folder(spark)
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
