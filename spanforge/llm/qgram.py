@@ -9,7 +9,8 @@ in blocks of bounded size, one pass over the documents for each block, and nothi
 
 Defined results: null or empty texts have no matches, null or empty items match nothing; items
 shorter than q bytes must occur literally; of overlapping matches of one item the best stays
-(fewest edits, then leftmost); repeated documents are reported one by one.
+(fewest edits, then leftmost) and others are looked for on both sides of it; repeated documents are
+reported one by one.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from .textnp import column, raw, slices
 
 Q = 8
-#: Edits allowed for each byte of an item.
-EDIT_RATE = 0.08
+#: Edits allowed for each byte of an item, as far as the lemma's bound holds: an item of m bytes has (m - Q) // Q at most.
+EDIT_RATE = 0.1
 #: Bytes of benchmark items in one block.
 BLOCK_BYTES = 4 << 20
 _NORMAL = np.arange(256, dtype=np.uint8)
@@ -188,6 +189,30 @@ def verify(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> t
     return edits, a + end - (length if back <= k else m), a + end
 
 
+def occurrences(item: np.ndarray, text: np.ndarray, low: int, high: int, k: int) -> list[tuple[int, int, int]]:
+    """(edits, start, end) of disjoint occurrences: the best, then those that fit to its left and to its right."""
+    out, todo, m = [], [(0, len(text), low, high)], len(item)
+    while todo:
+        a, b, low, high = todo.pop()
+        if b - a < m - k or low > high:
+            continue
+        got = verify(item, text[a:b], low - a, high - a, k)
+        if got:
+            edits, start, end = got[0], got[1] + a, got[2] + a
+            out.append((edits, start, end))
+            todo += [(a, start, low, min(high, start - m + k)), (end, b, max(low, end - k), high)]
+    return sorted(out, key=lambda s: s[1])
+
+
+def literal(item: bytes, text: bytes) -> list[tuple[int, int, int]]:
+    """(0, start, end) of the occurrences of an item that is too short for the lemma, from the left."""
+    out, at = [], text.find(item)
+    while at >= 0:
+        out.append((0, at, at + len(item)))
+        at = text.find(item, at + len(item))
+    return out
+
+
 def search(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", rate: float = EDIT_RATE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rows (id, item, start, end, edits) of documents that contain an item; offsets in bytes of the text."""
     items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).cast("string").alias("t")).filter("length(t) > 0 AND i IS NOT NULL").distinct()
@@ -219,14 +244,13 @@ def _matcher(rows: list[tuple[object, bytes]], rate: float, item_type):
             data = _NORMAL[data]
             found: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
             for d, i, low, high in index.candidates(data, offsets).tolist():
-                got = verify(index.text[i], data[offsets[d] : offsets[d + 1]], low, high, int(index.k[i]))
+                got = occurrences(index.text[i], data[offsets[d] : offsets[d + 1]], low, high, int(index.k[i]))
                 if got:
-                    found.setdefault((d, i), []).append(got)
+                    found.setdefault((d, i), []).extend(got)
             for i in index.short:
                 for d in range(batch.num_rows):
-                    at = data[offsets[d] : offsets[d + 1]].tobytes().find(index.text[i].tobytes())
-                    if at >= 0:
-                        found.setdefault((d, i), []).append((0, at, at + int(index.size[i])))
+                    if got := literal(index.text[i].tobytes(), data[offsets[d] : offsets[d + 1]].tobytes()):
+                        found.setdefault((d, i), []).extend(got)
             out = []
             for (d, i), got in sorted(found.items()):
                 kept: list[tuple[int, int, int]] = []
