@@ -136,21 +136,34 @@ class Plan:
 
 
 def plan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample_rows: int = SAMPLE_ROWS, known: dict[str, tuple[float, float]] | None = None) -> Plan:
-    """Order ``rules`` by rejection per cost, as measured on ``sample_rows`` rows at most.
+    """Order ``rules`` by rejection per cost, as measured on a sample of about ``sample_rows`` rows from all over the table.
 
-    ``known`` (name -> seconds, share rejected) replaces the measurement.  An empty table keeps
-    the given order.
+    The cost of a rule is the time of a job over the cached sample less that of a job that only reads
+    it, the lower of two runs each.  ``known`` (name -> seconds, share rejected) replaces the
+    measurement.  An empty table keeps the given order.  The order decides what is evaluated, never
+    which rows are kept.
     """
     seen = dict(known or {})
     todo = [r for r in rules if r.name not in seen]
     if todo:
-        rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).limit(sample_rows).persist()
+        text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")
+        total = docs.count()
+        rows = docs.select(text).sample(min(1.0, sample_rows / max(total, 1)), seed=7).persist()
+
+        def timed(x: Column) -> tuple[float, int]:
+            took = []
+            for _ in range(2):
+                began = time.perf_counter()
+                bad = rows.agg(F.count_if(x)).first()[0]
+                took.append(time.perf_counter() - began)
+            return min(took), bad
+
         try:
             n = rows.count()
+            idle, _ = timed(F.length("t") < 0) if n else (0.0, 0)
             for r in todo if n else ():
-                began = time.perf_counter()
-                bad = rows.agg(F.count_if(r.rejects(F.col("t")))).first()[0]
-                seen[r.name] = (time.perf_counter() - began, bad / n)
+                took, bad = timed(r.rejects(F.col("t")))
+                seen[r.name] = (max(took - idle, 1e-4), bad / n)
         finally:
             rows.unpersist()
     worth = {r.name: (seen[r.name][1] + 1e-6) / max(seen[r.name][0], 1e-6) if r.name in seen else 0.0 for r in rules}
