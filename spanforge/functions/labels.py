@@ -20,6 +20,33 @@ NOT_APPLICABLE = ("AGE",)
 SPECIAL = ("MEDICATION", "PROFESSION", "DIAGNOSIS")
 QUASI = ("IP", "LOCATION", "DATE", "AGE", "PROFESSION", "ORG")
 
+# Labels of models and datasets and what they stand for; null where a label is dropped, for philter OTHER where it is unknown.
+MODEL_LABELS: dict[str, dict[str, str | None]] = {
+    "natasha": {"PER": "PERSON", "LOC": "LOCATION", "ORG": "ORG"},
+    "presidio": {
+        "PERSON": "PERSON", "LOCATION": "LOCATION", "GPE": "LOCATION", "NRP": "LOCATION", "PHONE_NUMBER": "PHONE", "EMAIL_ADDRESS": "EMAIL", "URL": "URL", "DATE_TIME": "DATE",
+        "US_SSN": "ID", "US_ITIN": "ID", "US_PASSPORT": "ID", "US_DRIVER_LICENSE": "ID", "US_BANK_NUMBER": "ID", "IBAN_CODE": "ID", "CREDIT_CARD": "ID", "CRYPTO": "ID", "IP_ADDRESS": "ID", "MEDICAL_LICENSE": "ID",
+        "ORGANIZATION": "ORG", "ORG": "ORG", "AGE": "AGE",
+    },
+    "philter": {"DATE": "DATE", "Email": "EMAIL", "Name": "PERSON", "Age": "AGE", "Patient_Social_Security_Number": "ID", "Provider_Address_or_Location": "LOCATION", "OTHER": "OTHER"},
+    "ai4": {
+        "GIVENNAME1": "private_person", "GIVENNAME2": "private_person", "LASTNAME1": "private_person", "LASTNAME2": "private_person", "LASTNAME3": "private_person", "TITLE": None, "EMAIL": "private_email",
+        "TEL": "private_phone", "DATE": "private_date", "BOD": "private_date", "TIME": None, "STREET": "private_address", "BUILDING": "private_address", "SECADDRESS": "private_address", "CITY": "private_address",
+        "STATE": "private_address", "COUNTRY": "private_address", "POSTCODE": "private_address", "GEOCOORD": "private_address", "USERNAME": None, "IP": None, "DRIVERLICENSE": "account_number",
+        "IDCARD": "account_number", "PASSPORT": "account_number", "SOCIALNUMBER": "account_number", "PASS": "secret", "SEX": None,
+    },
+}
+# Population, share of it that has each attribute, and attributes that are part of another.
+POPULATION = 146_000_000
+PRIORS = {
+    "a-kaluga": 330_000 / POPULATION, "b-kostroma": 270_000 / POPULATION, "b-ekaterinburg": 1_500_000 / POPULATION, "b-moscow": 13_000_000 / POPULATION, "b-zavolzhsky": 90_000 / POPULATION,
+    "c-spb": 5_600_000 / POPULATION, "d-nsk": 1_600_000 / POPULATION, "e-ekb": 1_500_000 / POPULATION, "f-kazan": 1_300_000 / POPULATION,
+    "a-profession": 0.006, "a-careerlevel": 1.0, "b-profession": 0.020, "b-role": 1.0, "c-profession": 0.004, "d-profession": 0.010, "e-profession": 0.012, "f-profession": 0.020,
+    "a-age": 1 / 70, "b-age": 1 / 70, "c-age": 1 / 70, "d-age": 1 / 70, "e-age": 1 / 70, "f-age": 1 / 70,
+    "a-sertraline": 0.004, "b-fluoxetine": 0.004, "c-escitalopram": 0.004, "d-bupropion": 0.003, "e-mirtazapine": 0.003, "f-atomoxetine": 0.002,
+}
+FOLDED = ("a-careerlevel", "b-role")
+
 
 def _table(x: Column, table: dict, default: Column) -> Column:
     return reduce(lambda out, kv: F.when(x == kv[0], F.lit(kv[1])).otherwise(out), reversed(table.items()), default)
@@ -31,6 +58,14 @@ def canon(label: Column) -> Column:
     return _table(up, CANONICAL, up)
 
 
+def of_model(model: Column, label: Column) -> Column:
+    """The canonical type of a model's label; null where the label is dropped or the model does not name it."""
+    rows = [(m, k, v) for m, t in MODEL_LABELS.items() for k, v in t.items() if v is not None]
+    table = F.create_map(*[x for m, k, v in rows for x in (F.lit(f"{m}/{k}"), F.lit(v))])
+    found = F.element_at(table, F.concat(model, F.lit("/"), label))
+    return canon(F.coalesce(found, F.when(model == "philter", "OTHER")))
+
+
 def safe(label: Column) -> Column:
     """A publishable label, else OTHER."""
     up = F.upper(label)

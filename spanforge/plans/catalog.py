@@ -258,8 +258,7 @@ def quasi_survivors(spark, d):
     return x.withColumn("rate", L.ratio(F.col("survivors"), F.col("total")))
 
 
-#: Population of the singling-out estimate.
-POPULATION = 146_000_000
+POPULATION = L.POPULATION
 
 
 def _priors(spark: SparkSession, d: str) -> DataFrame:

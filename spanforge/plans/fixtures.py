@@ -47,6 +47,11 @@ TABLES: dict[str, tuple[str, list[tuple]]] = {
         ("x", "x-ann", "PERSON", "direct", "ann( lee)?"), ("x", "x-mail", "EMAIL", "direct", r"[a-z.]+@[a-z]+\.[a-z]+"), ("x", "x-date-%V", "DATE", "quasi", r"\d+ (may|june)"), ("y", "y-ann", "PERSON", "direct", "Ann"),
     ]),
     "client_texts": ("doc_id long, client string, text string", [(1, "x", "Ann Lee wrote ann.lee@mail.org on 3 May, Ann on 4 June and 3 may."), (2, "y", "ANN, annex."), (3, "z", "Ann")]),
+    "raw_labels": ("model string, label string", [("natasha", "PER"), ("natasha", "MISC"), ("presidio", "NRP"), ("presidio", "UK_NHS"), ("philter", "Name"), ("philter", "Odd"), ("ai4", "TITLE"), ("ai4", "BOD"), ("ai4", "PASS"), ("ai4", "TEL"), ("none", "PER")]),
+    "survivors": ("client string, entity_id string, type string", [
+        ("a", "a-kaluga", "LOCATION"), ("a", "a-age", "AGE"), ("a", "a-profession", "PROFESSION"), ("a", "a-careerlevel", "PROFESSION"), ("b", "b-role", "PROFESSION"), ("c", "c-spb", "LOCATION"), ("c", "c-age", "AGE"),
+        ("c", "c-profession", "PROFESSION"), ("c", "c-escitalopram", "MEDICATION"), ("c", "c-unknown", "ORG"), ("d", "d-other", "ORG"), ("f", "f-kazan", "LOCATION"), ("f", "f-atomoxetine", "MEDICATION"), ("f", "f-age", "AGE"), ("f", "f-profession", "PROFESSION"),
+    ]),
     "overlapping": ("doc_id long, seq int, start int, `end` int, type string", [(1, 0, 0, 4, "a"), (1, 1, 2, 6, "b"), (1, 2, 6, 8, "c"), (1, 3, 5, 7, "d"), (2, 0, 3, 5, "x"), (2, 1, 3, 9, "y")]),
     "over_texts": ("doc_id long, text string", [(1, "0123456789"), (2, "abcdefghijk"), (3, "nothing")]),
 }

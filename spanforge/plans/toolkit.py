@@ -368,6 +368,24 @@ def bootstrap_entities(spark, d):
     return Q.bootstrap(stage(x), 2000, 20260601)
 
 
+@query
+def mapped_labels(spark, d):
+    """Labels of models as canonical types; null where a label is dropped."""
+    return frame(spark, "raw_labels").select("model", "label", L.of_model(F.col("model"), F.col("label")).alias("canon"))
+
+
+@query
+def singling_out(spark, d):
+    """Expected people that share what survives of each client, by a lookup of population shares; parts of another attribute count once."""
+    shares = F.broadcast(spark.createDataFrame(list(L.PRIORS.items()), "entity_id string, prior double"))  # a fixed list
+    x = frame(spark, "survivors").withColumn("folded", F.col("entity_id").isin(*L.FOLDED)).join(shares, "entity_id", "left")
+    used = F.when(~F.col("folded"), F.col("prior"))
+    product = F.aggregate(F.transform(F.array_sort(F.collect_list(F.when(used.isNotNull(), F.struct("entity_id", "prior")))), lambda s: s["prior"]), F.lit(1.0), lambda a, v: a * v)
+    g = x.groupBy("client").agg(F.count(used).alias("dims"), product.alias("share"), F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
+    expected = F.when(F.col("dims") > 0, F.round(L.POPULATION * F.col("share"), 1))
+    return g.select("client", "dims", "types", expected.alias("expected"), F.coalesce(expected < 1.0, F.lit(False)).alias("singled_out"))
+
+
 # --- attacks --------------------------------------------------------------------------------
 def _hits(spark):
     return A.top_hits(frame(spark, "guesses"), frame(spark, "truth"), ["client", "session"])

@@ -70,6 +70,8 @@ def oracle_sql() -> dict[str, str]:
         "gold_patterns": "SELECT * FROM " + _LIT([(1, 0, 7, "PERSON", "Ann Lee", "direct", "x-ann"), (1, 14, 30, "EMAIL", "ann.lee@mail.org", "direct", "x-mail"), (1, 34, 39, "DATE", "3 May", "quasi", "x-date-3may"), (1, 41, 44, "PERSON", "Ann", "direct", "x-ann"), (1, 48, 54, "DATE", "4 June", "quasi", "x-date-4june"), (1, 59, 64, "DATE", "3 may", "quasi", "x-date-3may"), (2, 0, 3, "PERSON", "ANN", "direct", "y-ann"), (2, 5, 8, "PERSON", "ann", "direct", "y-ann")], 'doc_id, "start", "end", type, value, identifier_class, entity_id'),
         "metadata_leaks": r"SELECT (SELECT count(*) FROM documents) + 8 AS n, (SELECT count(*) FROM documents WHERE regexp_matches(text, 'client_id:\s*\w')) + 1 AS leaks",
         "turn_of_span": f"""SELECT doc_id, "start", value, -1::BIGINT AS turn, NULL::VARCHAR AS speaker FROM ({O._detector('url')} UNION ALL {O._detector('numeric_date')}) WHERE NOT (doc_id = -7 AND "start" > 114) UNION ALL SELECT -7, 137, 'www.example.org/a?b=1.', 1, 'К'""",
+        "mapped_labels": "SELECT * FROM " + _LIT([("natasha", "PER", "PERSON"), ("natasha", "MISC", None), ("presidio", "NRP", "LOCATION"), ("presidio", "UK_NHS", None), ("philter", "Name", "PERSON"), ("philter", "Odd", "OTHER"), ("ai4", "TITLE", None), ("ai4", "BOD", "DATE"), ("ai4", "PASS", "ID"), ("ai4", "TEL", "PHONE"), ("none", "PER", None)], "model, label, canon"),
+        "singling_out": "SELECT client, dims::BIGINT AS dims, types, expected::DOUBLE AS expected, singled_out FROM (VALUES ('a', 3, 'AGE,LOCATION,PROFESSION', 28.3, false), ('b', 0, 'PROFESSION', NULL, false), ('c', 4, 'AGE,LOCATION,MEDICATION,ORG,PROFESSION', 1.3, false), ('d', 0, 'ORG', NULL, false), ('f', 4, 'AGE,LOCATION,MEDICATION,PROFESSION', 0.7, true)) t(client, dims, types, expected, singled_out)",
         "score_threshold": f"{_with('hits')} SELECT type, count(*) AS n FROM hits WHERE score >= 0.45 GROUP BY 1",
         "adjacent_merge": "SELECT * FROM " + _LIT([(1, 0, 12, "PERSON", 0.5), (1, 16, 18, "PERSON", 0.45), (1, 22, 31, "LOCATION", 0.44), (2, 0, 7, "PERSON", 0.6), (2, 8, 10, "ORG", 0.3), (3, 0, 1, "DATE", 0.2), (3, 3, 8, "DATE", 0.95)], 'doc_id, "start", "end", type, score'),
         "chunk_rebase": f"""{_with('chunk_places', 'chunk_hits')} SELECT doc_id, h."start" + c."start" AS "start", h."end" + c."start" AS "end", label, min(chunk) AS chunk FROM chunk_hits h JOIN chunk_places c USING (doc_id, chunk)
