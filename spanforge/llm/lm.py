@@ -18,7 +18,8 @@ early, as two words lead from the root to the right state.
 The automaton grows with the corpus and is never in one place.  Documents go to blocks of bounded
 size by a hash of id and text; a block asks a tree of counters (``tally``) for the totals of the
 words and pairs that its texts have, then of the triples whose history is a state, and builds the
-part of the automaton that its texts can reach.  Keys are 62-bit hashes.
+part of the automaton that its texts can reach.  Words are known by hashes of 62 bits, pairs and
+triples of 54.
 
 Defined results: null and empty texts are the end token alone; repeated rows count and score each;
 a null id belongs to training; an empty table gives an empty result.
@@ -35,16 +36,17 @@ from .tally import BITS, UP, Tree, totals, unpack
 from .textnp import Words, column, mix, raw, slices
 
 #: Occurrences from which a pair of words is a state.
-STATE = 3
+STATE = 4
 #: Bytes of text in a block, about.
 BLOCK_BYTES = 8 << 20
 #: Tokens of a stretch that is read in lockstep with others.
 STRETCH = 256
 #: The token that ends every text.
 END = np.uint64(0x5DEECE66D1234567)
-#: Classes of keys, in their last two bits.
+#: Classes of keys, in bits 8 and 9; bits 0 to 7 are kept for words alone, as only their counts must be exact at any size.
 WORD, PAIR, TRIPLE, LAST = 0, 1, 2, 3
-_CLASS = np.uint64(3)
+_CLASS = np.uint64(3 << 8)
+_LOW = np.uint64(255)
 
 
 def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +62,12 @@ def _tokens(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _key(h: np.ndarray, kind: int) -> np.ndarray:
-    return (h & ~_CLASS) | np.uint64(kind)
+    out = (h & ~_CLASS) | np.uint64(kind << 8)
+    return out if kind == WORD else out & ~_LOW
+
+
+def _is(keys: np.ndarray, kind: int) -> np.ndarray:
+    return (keys & _CLASS) == np.uint64(kind << 8)
 
 
 class Grams:
@@ -107,17 +114,29 @@ _STAT = "name string, bin int, n long, total long"
 
 
 def _send_short(tree: Tree):
+    """To the tree a block is two children: twice its number sends words, the next pairs, which travel in fewer bytes."""
+
     def send(key: tuple, texts: pa.Table) -> pa.Table:
-        return tree.block_rows(key[0].as_py(), *Grams(texts).short())
+        u, n = Grams(texts).short()
+        block, word = 2 * key[0].as_py(), _is(u, WORD)
+        return pa.concat_tables([tree.block_rows(block, u[word], n[word]), tree.block_rows(block + 1, u[~word], n[~word])])
 
     return send
 
 
+def _short_totals(tree: Tree, u: np.ndarray, notes: pa.Table) -> np.ndarray:
+    """Totals of a block's words and pairs."""
+    word, out = _is(u, WORD), np.zeros(len(u), np.int64)
+    out[word] = tree.block_totals(u[word], *_digits(notes, 0))
+    out[~word] = tree.block_totals(u[~word], *_digits(notes, 1))
+    return out
+
+
 def _send_long(tree: Tree, long_tree: Tree, state: int):
     def send(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
         g = Grams(texts)
         u, _ = g.short()
-        keep = g.long(u, tree.block_totals(u, *_digits(notes, 1)), state)
+        keep = g.long(u, _short_totals(tree, u, notes), state)
         return long_tree.block_rows(key[0].as_py(), *g.distinct(g.triple, keep))
 
     return send
@@ -132,9 +151,9 @@ def _stats(tree: Tree, state: int):
         counts = np.concatenate([unpack(c, len(tree.full(k))) for c, k in zip(table.column("counts").to_pylist(), table.column("keys").to_pylist(), strict=True)])
         u, of = np.unique(flat, return_inverse=True)
         n = np.bincount(of, counts, len(u)).astype(np.int64)
-        kind, size = u & _CLASS, np.frexp(n.astype(float))[1]
+        size = np.frexp(n.astype(float))[1]
         rows = []
-        for name, which in (("end", u == end), ("word", (kind == WORD) & (u != end)), ("state", (kind == PAIR) & (n >= state)), ("pair once", ((kind == PAIR) | (kind == LAST)) & (n == 1)), ("triple once", (kind == TRIPLE) & (n == 1))):
+        for name, which in (("end", u == end), ("word", _is(u, WORD) & (u != end)), ("state", _is(u, PAIR) & (n >= state)), ("pair once", (_is(u, PAIR) | _is(u, LAST)) & (n == 1)), ("triple once", _is(u, TRIPLE) & (n == 1))):
             which &= n > 0
             for b in np.unique(size[which]).tolist():
                 hit = which & (size == b)
@@ -251,7 +270,7 @@ def _scorer(tree: Tree, long_tree: Tree, state: int, id_type: pa.DataType):
     def score(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
         g = Grams(texts)
         u, _ = g.short()
-        n = tree.block_totals(u, *_digits(notes, 1)) if len(u) else np.zeros(0, np.int64)
+        n = _short_totals(tree, u, notes)
         keep = g.long(u, n, state)
         t, _ = g.distinct(g.triple, keep)
         n3 = long_tree.block_totals(t, *_digits(notes, 2)) if len(t) else np.zeros(0, np.int64)
@@ -260,9 +279,8 @@ def _scorer(tree: Tree, long_tree: Tree, state: int, id_type: pa.DataType):
         once = lambda name: sum(x for x, _ in of(name))
         total, distinct = (sum(x[i] for name in ("word", "end") for x in of(name)) for i in (1, 0))
         k2, k3 = prior(of("word"), once("pair once")), prior(of("state"), once("triple once"))
-        kind = u & _CLASS
-        words, pairs = u[kind == WORD], u[(kind == PAIR) | (kind == LAST)]
-        c1, c2 = n[kind == WORD], n[(kind == PAIR) | (kind == LAST)]
+        is_word = _is(u, WORD)
+        words, pairs, c1, c2 = u[is_word], u[~is_word], n[is_word], n[~is_word]
         p1 = (c1 + 0.5) / (total + 0.5 * (distinct + 1))
         word_of = np.searchsorted(words, g.word)
         has = np.flatnonzero(g.nth >= 1)
@@ -275,6 +293,7 @@ def _scorer(tree: Tree, long_tree: Tree, state: int, id_type: pa.DataType):
         pair, last = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
         pair[triple_of], last[triple_of] = pair_of[ends - 1], word_of[ends]
         end = int(np.searchsorted(words, _key(np.array([END]), WORD)[0]))
+        g.pair = g.triple = g.word = g.nth = g.train = u = n = pairs = pair_of = keep = t = triple_of = ends = has = None  # the automaton needs the room
         if len(g.counts):
             p = Automaton(c1, p1, end, first, second, c2, (pair, last, n3), k2, k3, state).walk(word_of, g.counts)
         else:
@@ -290,10 +309,10 @@ def _scorer(tree: Tree, long_tree: Tree, state: int, id_type: pa.DataType):
     return score
 
 
-def _note(df: DataFrame, kind: int) -> DataFrame:
+def _note(df: DataFrame, kind: int | None) -> DataFrame:
     have = {"digit": F.lit(None), "counts": F.lit(None), "stats": F.lit(None)} | {c: F.col(c) for c in df.columns}
     types = {"digit": "int", "counts": "binary", "stats": _NOTE.split("stats ")[1]}
-    return df.select(F.col("block").cast("long").alias("block"), F.lit(kind).alias("kind"), *[have[c].cast(k).alias(c) for c, k in types.items()])
+    return df.select(F.col("block").cast("long").alias("block"), (F.col("kind") if kind is None else F.lit(kind)).alias("kind"), *[have[c].cast(k).alias(c) for c, k in types.items()])
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_out: int = 1, block_bytes: int = BLOCK_BYTES, digit_bits: int = BITS, state: int = STATE) -> DataFrame:
@@ -306,12 +325,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds
     rows = docs.select(docs[id_col].alias("id"), text.alias("text"))
     total = rows.agg(F.sum(F.octet_length("text")), F.count(F.lit(1))).first()
     blocks = max(1, -(-((total[0] or 0) + 64 * total[1]) // block_bytes))
-    tree, long_tree = Tree.over(blocks, most=digit_bits), Tree.over(blocks, most=digit_bits)
+    tree, long_tree = Tree.over(2 * blocks, most=digit_bits), Tree.over(blocks, most=digit_bits)
     fold = F.crc32(F.col("id").cast("string").cast("binary")) % folds
     rows = rows.select("id", "text", F.coalesce(fold != held_out, F.lit(True)).alias("train"), F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"))
     texts = rows.repartition(blocks, "block").groupBy("block")
     back, top = totals(tree, texts.applyInArrow(_send_short(tree), UP))
-    short = _note(back.select(F.col("grp").alias("block"), "digit", "counts"), 1)
+    # the kind of a note: 0 words, 1 pairs, 2 triples, 3 sums over the corpus
+    short = _note(back.select(F.expr("grp div 2").alias("block"), F.expr("cast(grp % 2 as int)").alias("kind"), "digit", "counts"), None)
     back, long_top = totals(long_tree, texts.cogroup(short.groupBy("block")).applyInArrow(_send_long(tree, long_tree, state), UP))
     long_ = _note(back.select(F.col("grp").alias("block"), "digit", "counts"), 2)
     parts = [t.groupBy("path", "grp").applyInArrow(_stats(tree, state), _STAT) for t in (top, long_top)]

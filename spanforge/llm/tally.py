@@ -18,7 +18,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-U64 = np.uint64
+from .textnp import U64, pack_sorted, unpack_sorted
+
 #: Most bits of one digit: a node has at most 2 ** BITS children and parents.
 BITS = 8
 
@@ -57,22 +58,14 @@ class Tree:
         return np.searchsorted(digit, np.arange((1 << self.bits) + 1, dtype=U64))
 
     def short(self, keys: np.ndarray) -> bytes:
-        """Sorted, distinct keys as the first one and the steps between them, each in as few bytes as the widest needs."""
-        k = keys >> U64(64 - 8 * self.width)
-        step = np.diff(k)
-        wide = max(1, -(-int(step.max()).bit_length() // 8)) if len(step) else 1
-        b = np.ascontiguousarray(step.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :wide]
-        return bytes([wide]) + int(k[0]).to_bytes(8, "little") + np.ascontiguousarray(b).tobytes()
+        """Sorted keys without the bytes that do not count, and without a last byte that is zero in all."""
+        drop = 64 - 8 * self.width
+        if not drop and not (keys & U64(255)).any():
+            drop = 8
+        return bytes([drop]) + pack_sorted(keys >> U64(drop))
 
     def full(self, data: bytes) -> np.ndarray:
-        wide = data[0]
-        n = (len(data) - 9) // wide
-        b = np.zeros((n, 8), np.uint8)
-        b[:, :wide] = np.frombuffer(data, np.uint8, offset=9).reshape(n, wide)
-        k = np.empty(n + 1, U64)
-        k[0] = int.from_bytes(data[1:9], "little")
-        k[1:] = b.view("<u8").ravel()
-        return np.cumsum(k, dtype=U64) << U64(64 - 8 * self.width)
+        return unpack_sorted(data[1:]) << U64(data[0])
 
     def whole(self, keys: np.ndarray) -> np.ndarray:
         """Keys without what does not travel."""
@@ -88,7 +81,7 @@ class Tree:
 
     def block_rows(self, block: int, keys: np.ndarray, counts: np.ndarray) -> pa.Table:
         """What a block sends: rows of ``UP`` for its sorted, distinct keys."""
-        return _up(self.send(keys, counts, 0, block >> self.bits, block, 1))
+        return up_table(self.send(keys, counts, 0, block >> self.bits, block, 1))
 
     def block_totals(self, keys: np.ndarray, digits: list[int], answers: list[bytes]) -> np.ndarray:
         """Totals of a block's sorted, distinct keys from the rows that came back; raises if they don't fit."""
@@ -101,7 +94,7 @@ class Tree:
         return out
 
 
-def _up(cols: dict[str, list]) -> pa.Table:
+def up_table(cols: dict[str, list]) -> pa.Table:
     kind = {"path": pa.int64(), "grp": pa.int64(), "child": pa.int64(), "keys": pa.binary(), "counts": pa.binary()}
     return pa.table({k: pa.array(v, kind[k]) for k, v in cols.items()})
 
@@ -134,7 +127,7 @@ class _Node:
 def _rise(tree: Tree, level: int) -> Callable:
     def rise(key: tuple, table: pa.Table) -> pa.Table:
         node, (path, grp) = _Node(tree, table), (k.as_py() for k in key)
-        return _up(tree.send(node.keys, node.sums, path, grp >> tree.bits, grp, level + 1))
+        return up_table(tree.send(node.keys, node.sums, path, grp >> tree.bits, grp, level + 1))
 
     return rise
 
