@@ -74,10 +74,30 @@ def area(x: DataFrame, *keys: str) -> DataFrame:
     return x.select(*keys, "n_pos", "n_neg", F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0), 0.5).otherwise(F.col("w") / (2.0 * F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
-#: Ranges of scores that are summed apart.
+#: Ranges of values whose running sums are separate tasks.
 _RANGES = 64
 
 
+def _ranged(x: DataFrame, key: str) -> DataFrame:
+    """``x`` with ``range``, the number of its quantiles below ``key``."""
+    cuts = x.agg(F.percentile_approx(key, [i / _RANGES for i in range(1, _RANGES)], 10_000).alias("cuts"))
+    return x.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(key)))).drop("cuts")  # one row
+
+
+def _before(x: DataFrame, n: str) -> DataFrame:
+    """``x`` with ``before``, the sum of ``n`` over all lower ranges."""
+    sums = x.groupBy("range").agg(F.sum(n).alias("n_"))
+    sums = sums.select("range", F.coalesce(F.sum("n_").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # _RANGES rows
+    return x.join(F.broadcast(sums), "range")
+
+
+def numbered(x: DataFrame, key: str) -> DataFrame:
+    """``x`` with ``ord``, the place of each row from 0 in order of a unique, numeric ``key``."""
+    y = _before(_ranged(x, key).withColumn("one", F.lit(1).cast("long")), "one")
+    within = F.row_number().over(W.partitionBy("range").orderBy(key)) - 1
+    return y.withColumn("ord", within + F.col("before")).drop("range", "before", "one")
+
+
 def auc(scored: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve by mid-ranks; ties count half, one class alone gives 0.5.
 
@@ -85,12 +105,8 @@ def auc(scored: DataFrame, truth: str, score: str) -> DataFrame:
     running sum of a range is one task's work and only the sums of the ranges are added in one place.
     """
     by = scored.filter(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(truth)).alias("pos"), F.count_if(~F.col(truth)).alias("neg"))
-    cuts = by.agg(F.percentile_approx(score, [i / _RANGES for i in range(1, _RANGES)], 10_000).alias("cuts"))
-    x = by.join(F.broadcast(cuts)).withColumn("range", F.size(F.filter("cuts", lambda c: c < F.col(score)))).drop("cuts")  # one row
-    before = x.groupBy("range").agg(F.sum("neg").alias("n"))
-    before = before.select("range", F.coalesce(F.sum("n").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # _RANGES rows
-    inside = F.coalesce(F.sum("neg").over(W.partitionBy("range").orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    x = x.withColumn("below", inside).join(F.broadcast(before), "range").withColumn("wins2", F.col("pos") * (2 * (F.col("below") + F.col("before")) + F.col("neg")))
+    x = _before(_ranged(by, score), "neg").withColumn("below", F.coalesce(F.sum("neg").over(W.partitionBy("range").orderBy(score).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    x = x.withColumn("wins2", F.col("pos") * (2 * (F.col("below") + F.col("before")) + F.col("neg")))
     return area(x.agg(F.coalesce(F.sum("wins2"), F.lit(0)).alias("w"), F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg")))
 
 

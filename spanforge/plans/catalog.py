@@ -505,8 +505,7 @@ def registry_latest(spark, d):
 def bootstrap_recall(spark, d):
     """95 % interval of recall over resampled documents."""
     x = _caught(spark, d).groupBy("doc_id").agg(F.count_if("covered").alias("c"), F.count(F.lit(1)).alias("n"))
-    x = x.withColumn("ord", (F.row_number().over(W.orderBy("doc_id")) - 1).cast("long")).select("ord", "c", "n")
-    return Q.bootstrap(x, 2000, 20260601)
+    return Q.bootstrap(stage(Q.numbered(stage(x), "doc_id").select("ord", "c", "n")), 2000, 20260601)
 
 
 # --- sequential steps -----------------------------------------------------------------------

@@ -364,8 +364,7 @@ def bootstrap_entities(spark, d):
     """95 % interval of entity recall over resampled documents; a document drawn k times counts its entities k times."""
     e = C._caught(spark, d).groupBy("doc_id", "entity_id").agg(F.bool_and("covered").alias("ok"))
     x = e.groupBy("doc_id").agg(F.count_if("ok").alias("c"), F.count(F.lit(1)).alias("n"))
-    x = x.withColumn("ord", (F.row_number().over(W.orderBy("doc_id")) - 1).cast("long")).select("ord", "c", "n")
-    return Q.bootstrap(stage(x), 2000, 20260601)
+    return Q.bootstrap(stage(Q.numbered(stage(x), "doc_id").select("ord", "c", "n")), 2000, 20260601)
 
 
 @query
