@@ -91,16 +91,18 @@ class Grams:
         return u, np.bincount(of, self.train[keep], len(u)).astype(np.int64)
 
     def short(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct words and pairs."""
+        """Distinct words and pairs; ``word_at`` and ``pair_at`` say which of them each token is and ends."""
         has = self.nth >= 1
         u, of = np.unique(np.concatenate([self.word, self.pair[has]]), return_inverse=True)
+        self.word_at, self.pair_at = of[: len(has)], np.zeros(len(has), np.int64)
+        self.pair_at[has] = of[len(has) :]
         return u, np.bincount(of, np.concatenate([self.train, self.train[has]]), len(u)).astype(np.int64)
 
-    def long(self, keys: np.ndarray, n: np.ndarray, state: int) -> np.ndarray:
-        """Whether a token ends a triple whose first two words are a state, from the totals of words and pairs."""
+    def long(self, n: np.ndarray, state: int) -> np.ndarray:
+        """Whether a token ends a triple whose first two words are a state, from the totals of ``short``."""
         out = self.nth >= 2
         before = np.zeros(len(out), np.int64)
-        before[2:][out[2:]] = n[np.searchsorted(keys, self.pair[1:-1][out[2:]])]
+        before[2:][out[2:]] = n[self.pair_at[1:-1][out[2:]]]
         return out & (before >= state)
 
 
@@ -136,7 +138,7 @@ def _send_long(tree: Tree, long_tree: Tree, state: int):
     def send(key: tuple, texts: pa.Table, notes: pa.Table) -> pa.Table:
         g = Grams(texts)
         u, _ = g.short()
-        keep = g.long(u, _short_totals(tree, u, notes), state)
+        keep = g.long(_short_totals(tree, u, notes), state)
         return long_tree.block_rows(key[0].as_py(), *g.distinct(g.triple, keep))
 
     return send
@@ -271,7 +273,7 @@ def _scorer(tree: Tree, long_tree: Tree, state: int, id_type: pa.DataType):
         g = Grams(texts)
         u, _ = g.short()
         n = _short_totals(tree, u, notes)
-        keep = g.long(u, n, state)
+        keep = g.long(n, state)
         t, _ = g.distinct(g.triple, keep)
         n3 = long_tree.block_totals(t, *_digits(notes, 2)) if len(t) else np.zeros(0, np.int64)
         found = [s for k, s in zip(notes.column("kind").to_pylist(), notes.column("stats").to_pylist(), strict=True) if k == 3 for s in s or []]
@@ -282,10 +284,10 @@ def _scorer(tree: Tree, long_tree: Tree, state: int, id_type: pa.DataType):
         is_word = _is(u, WORD)
         words, pairs, c1, c2 = u[is_word], u[~is_word], n[is_word], n[~is_word]
         p1 = (c1 + 0.5) / (total + 0.5 * (distinct + 1))
-        word_of = np.searchsorted(words, g.word)
+        word_of = (np.cumsum(is_word) - 1)[g.word_at]
         has = np.flatnonzero(g.nth >= 1)
         pair_of = np.zeros(len(g.tokens), np.int64)
-        pair_of[has] = np.searchsorted(pairs, g.pair[has])
+        pair_of[has] = (np.cumsum(~is_word) - 1)[g.pair_at[has]]
         first, second = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
         first[pair_of[has]], second[pair_of[has]] = word_of[has - 1], word_of[has]
         ends = np.flatnonzero(keep)
@@ -293,7 +295,7 @@ def _scorer(tree: Tree, long_tree: Tree, state: int, id_type: pa.DataType):
         pair, last = np.zeros(len(t), np.int64), np.zeros(len(t), np.int64)
         pair[triple_of], last[triple_of] = pair_of[ends - 1], word_of[ends]
         end = int(np.searchsorted(words, _key(np.array([END]), WORD)[0]))
-        g.pair = g.triple = g.word = g.nth = g.train = u = n = pairs = pair_of = keep = t = triple_of = ends = has = None  # the automaton needs the room
+        g.pair = g.triple = g.word = g.nth = g.train = g.word_at = g.pair_at = u = n = pairs = pair_of = keep = t = triple_of = ends = has = None  # the automaton needs the room
         if len(g.counts):
             p = Automaton(c1, p1, end, first, second, c2, (pair, last, n3), k2, k3, state).walk(word_of, g.counts)
         else:
