@@ -18,6 +18,9 @@ odds of the method: there are as many bands of 4 as it takes for two sets at the
 none with odds of at most 7.5 in a million (16 at 0.85, 23 at 0.8), and the sketch bound lies four
 standard deviations below the threshold.
 
+Full sets travel as the first 46 bits of their shingles' hashes: two unequal shingles of two texts of
+500 words agree there with odds of four in a thousand million, and matter only to a pair that close to the threshold.
+
 Everything stays in DataFrames; what is used again is written to the checkpoint folder.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; texts with
@@ -31,14 +34,15 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .storage import cut
-from .textnp import Words, column, mix, raw, sets, shingles, slices
+from .textnp import Words, column, mix, pack_sorted, raw, sets, shingles, slices, unpack_sorted
 
 ROWS = 4
 #: Highest odds that two sets at the threshold share no band.
@@ -155,27 +159,65 @@ def prepare(docs: DataFrame, id_col: str, text_col: str, k: int, count: int) ->
     return rows.mapInArrow(run, f"id {kind}, text_key binary, n long, digest binary, bands array<long>, odd array<long>, parity array<long>")
 
 
+#: Bits of a shingle's hash that travel in full sets, so that a step between two of some hundred takes five bytes.
+KEPT = 46
+
+
 def full_sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(id, hashes) of each (id, rep, digest) of ``nodes``: the set with that digest, from a row of ``docs`` with the id ``rep``."""
+    """(id, n, hashes) of each (id, rep, digest) of ``nodes``: the packed set with that digest, from a row of ``docs`` with the id ``rep``.
+
+    Sets are smaller than their texts, so they, not the texts, meet the nodes: one exchange.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
             values, o = shingle_sets(column(batch, "text"), k)
-            digest = [set_digest(values[i:j]) for i, j in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digest, pa.binary()), pa.ListArray.from_arrays(pa.array(o.astype(np.int32)), pa.array(values.view(np.int64)))], ["rep", "digest", "hashes"])
+            parts = [values[i:j] for i, j in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
+            short = [pack_sorted(np.unique(v >> np.uint64(64 - KEPT))) for v in parts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([set_digest(v) for v in parts], pa.binary()), pa.array(np.diff(o).astype(np.int64)), pa.array(short, pa.binary())], ["rep", "digest", "n", "hashes"])
+
+    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).filter("rep IS NOT NULL")
+    found = rows.mapInArrow(run, f"rep {kind}, digest binary, n long, hashes binary")
+    return found.join(nodes, ["rep", "digest"]).groupBy("rep", "digest").agg(F.first("id").alias("id"), F.first("n").alias("n"), F.first("hashes").alias("hashes")).select("id", "n", "hashes")
 
-    rows = docs.select(F.col(id_col).alias("rep"), F.col(text_col).cast("string").alias("text")).join(nodes.select("rep").distinct(), "rep", "left_semi")
-    found = rows.mapInArrow(run, f"rep {kind}, digest binary, hashes array<long>").dropDuplicates(["rep", "digest"])
-    return found.join(nodes, ["rep", "digest"]).select("id", "hashes")
+
+#: Pairs with both their sets that go to a worker at a time.
+_PAIRS = 1000
+
+
+@contextmanager
+def _few_rows(spark: SparkSession) -> Iterator[None]:
+    """Inside, Arrow batches have _PAIRS rows at most, as each holds two whole sets."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, _PAIRS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def confirm(pairs: DataFrame, sets_: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with 100 * shared >= percent * united."""
-    a, b = sets_.select(F.col("id").alias("a"), F.col("hashes").alias("ha")), sets_.select(F.col("id").alias("b"), F.col("hashes").alias("hb"))
-    both = F.size(F.array_intersect("ha", "hb"))
-    got = pairs.join(b, "b").join(a, "a").select("a", "b", both.alias("i"), (F.size("ha") + F.size("hb") - both).alias("u"))
-    return got.filter(100 * F.col("i") >= percent * F.col("u")).select("a", "b")
+    """Pairs (a, b) with 100 * shared >= percent * united, as a checkpoint."""
+    kind = pairs.schema["a"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = (batch.column(2).to_numpy() + batch.column(3).to_numpy()).tolist()
+            keep, last, left = [], None, None
+            for x, y, n in zip(batch.column(4), batch.column(5), sizes, strict=True):
+                data = x.as_py()
+                if data != last:
+                    last, left = data, unpack_sorted(data)
+                both = len(np.intersect1d(left, unpack_sorted(y.as_py()), assume_unique=True))
+                keep.append(100 * both >= percent * (n - both))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x: sets_.select(F.col("id").alias(x), F.col("n").alias("n" + x), F.col("hashes").alias("h" + x))
+    both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "ha", "hb")
+    with _few_rows(pairs.sparkSession):
+        return cut(both.mapInArrow(run, f"a {kind}, b {kind}"))
 
 
 def components(nodes: DataFrame, links: DataFrame, most: int = 60) -> DataFrame:
@@ -270,7 +312,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
     involved = member.select("id").distinct()
     texts = cut(full_sets(docs, reps.select("id", "rep", "digest").join(involved, "id", "left_semi"), id_col, text_col, k))
     tried = cut(star)
-    links = cut(confirm(tried, texts, percent))
+    links = confirm(tried, texts, percent)
     label = components(involved, links)
     wide = member.filter("size > 2")
     for limit in (8, 64, None):
@@ -293,7 +335,7 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
             if last:
                 break
             continue
-        more = cut(confirm(found, texts, percent))
+        more = confirm(found, texts, percent)
         tried = tried.unionByName(found)
         if not more.isEmpty():
             links = links.unionByName(more)
