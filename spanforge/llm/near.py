@@ -319,13 +319,16 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, k: int, percent: int) -
         # members of buckets that are in several classes; those outside the largest class ask
         at = wide.join(label, "id")
         by_class = at.groupBy("band", "value", "class").agg(F.count(F.lit(1)).alias("m"))
-        top = by_class.groupBy("band", "value").agg(F.count(F.lit(1)).alias("classes"), F.max_by("class", F.struct("m", "class")).alias("top")).filter("classes > 1")
-        at = at.join(top, ["band", "value"]).join(traits, "id").withColumn("blocks", F.ceil(F.col("size") / _SCAN).cast("int"))
-        # both sides are blocked, so that a task has at most _SCAN members of each
-        own, every = F.pmod(F.xxhash64("id"), "blocks").cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        block = lambda side: [(own if side == name else every).alias(f"{name}_block") for name in ("held", "asking")]
-        held = at.select("band", "value", "id", "class", "n", "odd", "parity", *block("held"), F.lit(False).alias("asks"))
-        ask = at.filter("class != top").select("band", "value", "id", "class", "n", "odd", "parity", *block("asking"), F.lit(True).alias("asks"))
+        most = F.max_by("class", F.struct("m", "class")).alias("top")
+        top = by_class.groupBy("band", "value").agg(F.count(F.lit(1)).alias("classes"), most, (F.sum("m") - F.max("m")).alias("others")).filter("classes > 1")
+        at = at.join(top, ["band", "value"]).join(traits, "id")
+        # both sides are blocked by their own numbers, so that a task has at most about _SCAN members of each
+        sides = {"held": "size", "asking": "others"}
+        at = at.withColumns({f"{s}_n": F.greatest(F.lit(1), F.ceil(F.col(n) / _SCAN).cast("int")) for s, n in sides.items()})
+        own = lambda s: F.pmod(F.xxhash64("id"), f"{s}_n").cast("int").alias(f"{s}_block")
+        every = lambda s: F.explode(F.sequence(F.lit(0), F.col(f"{s}_n") - 1)).alias(f"{s}_block")
+        held = at.select("band", "value", "id", "class", "n", "odd", "parity", own("held"), every("asking"), F.lit(False).alias("asks"))
+        ask = at.filter("class != top").select("band", "value", "id", "class", "n", "odd", "parity", every("held"), own("asking"), F.lit(True).alias("asks"))
         kind = member.schema["id"].dataType.simpleString()
         found = held.unionByName(ask).groupBy("band", "value", "held_block", "asking_block").applyInArrow(_partners(limit, bits, percent), f"a {kind}, b {kind}, more boolean")
         found = cut(found.groupBy("a", "b").agg(F.max("more").alias("more")))
