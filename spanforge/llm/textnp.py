@@ -81,6 +81,29 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
             at = to
 
 
+def pack_sorted(v: np.ndarray) -> bytes:
+    """Sorted, distinct numbers as the first one and the steps between them, each in as few bytes as the widest needs."""
+    if not len(v):
+        return b""
+    step = np.diff(v)
+    wide = max(1, -(-int(step.max()).bit_length() // 8)) if len(step) else 1
+    b = np.ascontiguousarray(step.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :wide]
+    return bytes([wide]) + int(v[0]).to_bytes(8, "little") + np.ascontiguousarray(b).tobytes()
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    if not data:
+        return np.zeros(0, U64)
+    wide = data[0]
+    n = (len(data) - 9) // wide
+    b = np.zeros((n, 8), np.uint8)
+    b[:, :wide] = np.frombuffer(data, np.uint8, offset=9).reshape(n, wide)
+    v = np.empty(n + 1, U64)
+    v[0] = int.from_bytes(data[1:9], "little")
+    v[1:] = b.view("<u8").ravel()
+    return np.cumsum(v, dtype=U64)
+
+
 class Words:
     """Words of several texts: ``hash``, ``doc`` (row of each word), ``first`` (row -> first word)."""
 
