@@ -5,8 +5,9 @@ its tokens are unnested into token-position rows, joined with the merge table, a
 pair of minimum rank is contracted, round after round, until no pair can be merged.  Decoding joins
 token rows with the vocabulary and concatenates them by an ordered aggregation.  Words recur, so
 what the queries give is kept by word in a cache of two generations, each bounded in bytes; the
-cache only saves work.  Nothing is shuffled, a partition needs memory for a slice of texts and for
-a stretch of a long text, and a lost task is simply run again.
+cache only saves work, and a worker without such a task gives it back.  Nothing is shuffled, a
+partition needs memory for a slice of texts and for a stretch of a long text, and a lost task is
+simply run again.
 
 Defined results: a null text is an empty one, an empty text has no ids (``n_tokens`` 0, the digest
 of the empty string); rows are treated one by one, so ties, repeated rows and null ids do not
@@ -21,7 +22,9 @@ import base64
 import ctypes
 import hashlib
 import heapq
+import threading
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +41,8 @@ SLICE_BYTES = 2 << 20
 STRETCH = 1 << 18
 #: Largest rank file that is sent to the workers.
 MAX_RANK_FILE = 64 << 20
+#: Seconds without a task after which a worker drops its codec.
+IDLE = 1.0
 #: What a cached word takes beside its own bytes and those of its values.
 _ENTRY = 330
 
@@ -75,6 +80,13 @@ def read_ranks(path: str) -> bytes:
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
+def _give_back() -> None:
+    """Return free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 class Codec:
     """One DuckDB connection with the merge table and the vocabulary of a rank file."""
 
@@ -219,20 +231,47 @@ class Codec:
         """Age the cache and give free memory back to the system; to be called between slices."""
         if self.size > self.cache_bytes:
             self.words, self.size = ({}, self.words[0]), 0
-        pa.default_memory_pool().release_unused()
-        if _TRIM is not None:
-            _TRIM(0)
+        _give_back()
 
 
 _codecs: dict[tuple[str, str, int], Codec] = {}
+_lock = threading.Lock()
+#: Uses begun and ended so far.
+_turn = 0
+
 
+@contextmanager
+def _codec(data: bytes, pattern: str, cache_bytes: int = CACHE_BYTES) -> Iterator[Codec]:
+    """The worker's codec, for one task.
 
-def _codec(data: bytes, pattern: str, cache_bytes: int = CACHE_BYTES) -> Codec:
+    Tasks that follow at once find it warm.  When none has come for ``IDLE`` seconds it is dropped:
+    Spark keeps idle workers, and later stages would have to run beside what they hold.
+    """
+    global _turn
     key = (hashlib.sha256(data).hexdigest(), pattern, cache_bytes)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(data, pattern, cache_bytes)
-    return _codecs[key]
+    with _lock:
+        _turn += 1
+        if key not in _codecs:
+            _codecs.clear()
+            _codecs[key] = Codec(data, pattern, cache_bytes)
+        codec = _codecs[key]
+    try:
+        yield codec
+    finally:
+        del codec
+        with _lock:
+            _turn += 1
+            timer = threading.Timer(IDLE, _drop, [_turn])
+        timer.daemon = True
+        timer.start()
+
+
+def _drop(turn: int) -> None:
+    """Drop the codec, unless it was used since ``turn``."""
+    with _lock:
+        if turn == _turn:
+            _codecs.clear()
+            _give_back()
 
 
 def _slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -255,23 +294,23 @@ def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id
     data = docs.sparkSession.sparkContext.broadcast(read_ranks(rank_file))  # at most MAX_RANK_FILE bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data.value, pattern, cache_bytes)
-        for batch, texts in _slices(batches, "text"):
-            n, ids_hex, out_hex = [], [], []
-            for parts in codec.texts(texts):
-                count, ids_sha, out_sha = 0, hashlib.sha256(), hashlib.sha256()
-                for values in parts:
-                    if values:
-                        shown, pieces = zip(*values, strict=True)
-                        ids = b",".join(shown)
-                        ids_sha.update(b"," + ids if count else ids)
-                        out_sha.update(b"".join(pieces))
-                        count += ids.count(b",") + 1
-                n.append(count)
-                ids_hex.append(ids_sha.hexdigest())
-                out_hex.append(out_sha.hexdigest())
-            codec.rest()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(out_hex)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with _codec(data.value, pattern, cache_bytes) as codec:
+            for batch, texts in _slices(batches, "text"):
+                n, ids_hex, out_hex = [], [], []
+                for parts in codec.texts(texts):
+                    count, ids_sha, out_sha = 0, hashlib.sha256(), hashlib.sha256()
+                    for values in parts:
+                        if values:
+                            shown, pieces = zip(*values, strict=True)
+                            ids = b",".join(shown)
+                            ids_sha.update(b"," + ids if count else ids)
+                            out_sha.update(b"".join(pieces))
+                            count += ids.count(b",") + 1
+                    n.append(count)
+                    ids_hex.append(ids_sha.hexdigest())
+                    out_hex.append(out_sha.hexdigest())
+                codec.rest()
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex), pa.array(out_hex)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     out = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -284,17 +323,17 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text_col: str = "text"
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != out_col) + f", `{out_col}` array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data.value, pattern)
-        for batch, texts in _slices(batches, text_col):
-            ids, ends = [], [0]
-            for parts in codec.texts(texts):
-                got = b",".join([v[0] for values in parts for v in values])
-                ids.append(np.array(got.split(b",") if got else [], np.int32))
-                ends.append(ends[-1] + len(ids[-1]))
-            codec.rest()
-            columns, names = _keep(batch, out_col)
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
-            yield pa.RecordBatch.from_arrays([*columns, lists], [*names, out_col])
+        with _codec(data.value, pattern) as codec:
+            for batch, texts in _slices(batches, text_col):
+                ids, ends = [], [0]
+                for parts in codec.texts(texts):
+                    got = b",".join([v[0] for values in parts for v in values])
+                    ids.append(np.array(got.split(b",") if got else [], np.int32))
+                    ends.append(ends[-1] + len(ids[-1]))
+                codec.rest()
+                columns, names = _keep(batch, out_col)
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))
+                yield pa.RecordBatch.from_arrays([*columns, lists], [*names, out_col])
 
     return docs.mapInArrow(run, schema)
 
@@ -305,12 +344,12 @@ def decode(docs: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids",
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != out_col) + f", `{out_col}` binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(data.value, pattern)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                batch = whole.slice(at, 256)
-                rows = [r or [] for r in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
-                columns, names = _keep(batch, out_col)
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(codec.decode(rows), pa.binary())], [*names, out_col])
+        with _codec(data.value, pattern) as codec:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    batch = whole.slice(at, 256)
+                    rows = [r or [] for r in batch.column(batch.schema.get_field_index(ids_col)).to_pylist()]
+                    columns, names = _keep(batch, out_col)
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(codec.decode(rows), pa.binary())], [*names, out_col])
 
     return docs.mapInArrow(run, schema)

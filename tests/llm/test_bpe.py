@@ -3,8 +3,11 @@
 import base64
 import hashlib
 import random
+import sys
+import time
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import tiktoken
 
@@ -71,3 +74,20 @@ def test_ids_outside_the_vocabulary(codec):
     for bad in (-1, 10**6):
         with pytest.raises(ValueError):
             codec.decode([[bad]])
+
+
+def test_idle_workers_hold_no_codec(spark):
+    """Spark keeps workers for later stages, which must not run beside the caches of this one."""
+    docs = spark.createDataFrame([(i, f"some words {i}") for i in range(40)], "doc_id long, text string").repartition(4)
+    assert bpe.digests(docs, PATH, P.PATTERN).count() == 40
+    bpe.digests(docs, PATH, P.PATTERN).collect()
+    time.sleep(4)
+
+    def held(batches):
+        module = sys.modules.get("spanforge.llm.bpe")
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"used": [module is not None], "held": [len(module._codecs) if module else 0]})
+
+    rows = docs.mapInArrow(held, "used boolean, held long").collect()
+    assert any(r.used for r in rows)
+    assert not any(r.held for r in rows)
