@@ -125,6 +125,25 @@ def test_sampled_pairs_hold_at_any_size(spark, monkeypatch):
             assert sorted((r.a, r.b, r.same) for r in got) == sorted([(a, b, True) for a, b, _ in same] + [(a, b, False) for a, b, _ in other])
 
 
+def test_pairs_of_a_group_meet_as_blocks(spark, monkeypatch):
+    """What is shuffled for all pairs of a large group is a row a block and meeting, not each key once a block."""
+    monkeypatch.setattr(Q, "_BLOCK", 16)
+    # 1000 keys of one group, 100 of none, a key of both and one twice; the last has no key
+    rows = [(3 * i - 700, "hot") for i in range(1000)] + [(3 * i, None) for i in range(100)] + [(1, "hot"), (1, None), (2, "hot"), (2, "hot"), (None, "hot")]
+    store = spark.sparkContext._jsc.sc().statusStore()
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+
+    def written():
+        stages = store.stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return {(x.stageId(), x.attemptId()): x.shuffleWriteRecords() for x in (stages.apply(i) for i in range(stages.size()))}
+
+    units = spark.createDataFrame(rows, "id long, g string")
+    before = written()
+    got = sorted((r.a, r.b) for r in Q.same_pairs(units, "g", "id").collect())
+    assert got == sorted((a, b) for a, g in rows for b, h in rows if a is not None and b is not None and a < b and g == h)
+    assert sum(n for k, n in written().items() if k not in before) < 10 * len(rows)  # 63 blocks meet 63
+
+
 def test_bootstrap_resamples_2000_times(spark, tmp_path):
     from spanforge.plans import catalog
 
